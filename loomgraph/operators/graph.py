@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import relation
 from loomgraph.schema import EDGE_KEYS, NODE_KEYS, edge_key, node_key
-from loomgraph.session import materialize, materialize_bucketed
+from loomgraph.session import materialize, write_bucketed
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,9 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
     edges = depends_on.select("story_id", F.col("depends_on_story_id").alias("node")).dropDuplicates()
     if not through_missing:
         edges = edges.join(titles.select("story_id"), "story_id", "left_semi")
-    edges = materialize_bucketed(edges, "impact_edges", "node")
+    spark = stories.sparkSession
+    edge_name = write_bucketed(edges, "impact_edges", "node")
+    edges = spark.table(edge_name)
 
     frontier = targets.select(F.col("story_id").alias("target"),
                               F.col("story_id").alias("node")).dropDuplicates()
@@ -118,6 +120,7 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
             break
         levels.append(level)
         frontier = level.select("target", "node")
+    spark.sql(f"DROP TABLE {edge_name}")  # every level is a written table of its own
     if not levels:
         levels = [frontier.withColumn("depth", F.lit(0)).where(F.lit(False))]
     found = reduce(DataFrame.unionByName, levels).withColumnRenamed("node", "story_id")

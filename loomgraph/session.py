@@ -59,13 +59,15 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
-    """Write ``df`` hash-bucketed on ``key``: every later join on ``key`` skips its shuffle."""
+def write_bucketed(df: DataFrame, label: str, key: str) -> str:
+    """Write ``df`` hash-bucketed on ``key`` and return the table name.
+
+    Every later join of that table on ``key`` skips the table's shuffle.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, label)
     table = f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one task per bucket writes one file per bucket
-    (df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path)
-       .format("parquet").saveAsTable(table))
-    return spark.table(table)
+    (df.repartition(buckets, key).write.bucketBy(buckets, key)
+       .option("path", shared_path(spark, label)).format("parquet").saveAsTable(table))
+    return table
