@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import patterns
-from loomgraph.functions.text import normalise_step, ratio_or_one
+from loomgraph.functions.text import (DEFINITION_PREFIX, content_id, normalise_step,
+                                      ratio_or_one)
 from loomgraph.operators.grid import grid_apply
 from loomgraph.operators.nearest import closest_definition
 from loomgraph.session import materialize
@@ -88,18 +89,21 @@ def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normali
 
 def _grid_match(plain: DataFrame, defs: DataFrame, anchor: str, n_defs: int, block_rows: int):
     """First match among definitions that have no literal piece to block on."""
+    order = [f"_r{i}" for i in range(len(defs.schema["rank"].dataType.fields))]
+    flat = defs.select("definition_id", "expression", "rank.*").toDF(
+        "definition_id", "expression", *order)
+
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(zip(right["rank"].map(lambda r: tuple(r.values())),
-                             right["definition_id"], right["expression"]))
+        ordered = right.sort_values(order, na_position="first")
+        tries = list(zip(ordered["definition_id"], ordered["expression"]))
         out = []
         for text, clean in zip(left["text"], left["clean"]):
-            for _, def_id, expression in ordered:
-                if patterns.hits(expression, anchor, text, clean):
-                    out.append((text, def_id))
-                    break
+            first = next((d for d, e in tries if patterns.hits(e, anchor, text, clean)), None)
+            if first is not None:
+                out.append((text, first))
         return pd.DataFrame(out, columns=["text", "definition_id"])
 
-    found = grid_apply(plain, defs, "text", "definition_id", kernel,
+    found = grid_apply(plain, flat, "text", "definition_id", kernel,
                        "text string, definition_id string", plain.count(), n_defs, block_rows)
     return found.join(defs.select("definition_id", "rank"), "definition_id").select("text", "rank")
 
@@ -153,7 +157,6 @@ def resolve_steps(steps: DataFrame, graph_steps: DataFrame, binds: DataFrame, de
 
 def generated_definitions(resolved: DataFrame, steps: DataFrame, escape: bool = False) -> DataFrame:
     """Definition nodes for GENERATE steps; the step text is the regex (``escape`` quotes it)."""
-    from loomgraph.functions.text import DEFINITION_PREFIX, content_id
     special = F.regexp_replace("text", r"([\\.^$|?*+(){}\[\]])", r"\\$1")
     return (steps.join(resolved.where("action = 'GENERATE'").select("step_id"), "step_id", "left_semi")
             .select(content_id(F.col("text"), DEFINITION_PREFIX).alias("definition_id"),

@@ -59,7 +59,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: b
         sims = _scores(left["embedding"], right["embedding"])
         if exclude_self:
             sims[left["query_id"].to_numpy()[:, None] == cand[None, :]] = -1.0
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        # both ways the first of equal similarities, i.e. the lowest cand_id, comes first
+        best = (sims.argmax(axis=1)[:, None] if k == 1
+                else np.argsort(-sims, axis=1, kind="stable")[:, :k])
         rows = np.repeat(np.arange(len(left)), best.shape[1])
         cols = best.ravel()
         keep = sims[rows, cols] > -1.0
@@ -95,6 +97,8 @@ def closest_definition(queries: DataFrame, steps: DataFrame, binds: DataFrame, d
     """
     bound = (binds.join(defs.select("definition_id"), "definition_id", "left_semi")
              .select("step_id", "definition_id").dropDuplicates())
+    first = Window.partitionBy("step_id").orderBy("definition_id")
+    bound = bound.withColumn("_d", F.row_number().over(first)).where(F.col("_d") <= k).drop("_d")
     carriers = steps.select("step_id", "embedding").join(bound.select("step_id"), "step_id",
                                                          "left_semi")
     near = top_k(queries, carriers.withColumnRenamed("step_id", "cand_id"), k, exclude_self=False)
