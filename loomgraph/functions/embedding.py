@@ -7,6 +7,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 768  # fixed value: vector size of generated embeddings
@@ -40,6 +41,6 @@ def _hashed(df: DataFrame, text_col: str, dims: int) -> DataFrame:
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_vector", p=2.0),
     ]
-    source = df.na.fill("", [text_col]).withColumn("_text", df[text_col]).na.fill("", ["_text"])
+    source = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     vectors = Pipeline(stages=stages).fit(source).transform(source)
     return vectors.select(*df.columns, vector_to_array("_vector").alias("embedding"))

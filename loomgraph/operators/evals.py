@@ -34,13 +34,14 @@ RULES: dict[str, Callable[[], Column]] = {
 }
 
 
-def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL_CASE).option("multiLine", "true").json(path)
+def read_eval_cases(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Eval cases from JSON arrays, one per file (``multi_line``) or line."""
+    return spark.read.schema(EVAL_CASE).option("multiLine", multi_line).json(path)
 
 
-def read_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
+def read_eval_dataset(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """One row per case of either shape: single prompt, or a list of turns with events."""
-    sets = spark.read.schema(EVAL_DATASET).option("multiLine", "true").json(path)
+    sets = spark.read.schema(EVAL_DATASET).option("multiLine", multi_line).json(path)
     return flatten_eval_dataset(sets)
 
 

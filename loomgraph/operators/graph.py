@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.functions.text import relation
 from loomgraph.schema import EDGE_KEYS, NODE_KEYS, edge_key, node_key
-from loomgraph.session import materialize, write_bucketed
+from loomgraph.session import shared_path, write_bucketed
 
 
 @dataclass(frozen=True)
@@ -106,25 +107,28 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
 
     frontier = targets.select(F.col("story_id").alias("target"),
                               F.col("story_id").alias("node")).dropDuplicates()
-    levels: list[DataFrame] = []
+    schema = frontier.schema
+    root = shared_path(spark, "impact_levels")
     depth = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
         reached = (frontier.join(edges, "node").select("target", F.col("story_id").alias("node"))
                    .dropDuplicates())
-        if levels:
-            seen = reduce(DataFrame.unionByName, levels).select("target", "node")
+        if depth:
+            seen = spark.read.schema(schema).parquet(root)
             reached = reached.join(seen, ["target", "node"], "left_anti")
-        level = materialize(reached.withColumn("depth", F.lit(depth)), "impact_level")
-        if level.isEmpty():
+        depth += 1
+        level = f"{root}/depth={depth}"
+        reached.write.parquet(level)
+        frontier = spark.read.schema(schema).parquet(level)
+        if frontier.isEmpty():
             break
-        levels.append(level)
-        frontier = level.select("target", "node")
     spark.sql(f"DROP TABLE {edge_name}")  # every level is a written table of its own
-    if not levels:
-        levels = [frontier.withColumn("depth", F.lit(0)).where(F.lit(False))]
-    found = reduce(DataFrame.unionByName, levels).withColumnRenamed("node", "story_id")
-    return (found.join(titles, "story_id")
+    if depth:
+        leveled = T.StructType(schema.fields + [T.StructField("depth", T.IntegerType())])
+        found = spark.read.schema(leveled).parquet(root)
+    else:
+        found = frontier.withColumn("depth", F.lit(0)).where(F.lit(False))
+    return (found.withColumnRenamed("node", "story_id").join(titles, "story_id")
             .select("target", "story_id", "title", "depth", relation(F.col("depth")).alias("relation")))
 
 

@@ -25,8 +25,10 @@ def grid_apply(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     n_right = block_count(right_rows, block_rows)
 
     def cells(df: DataFrame, id_col: str, own: str, own_n: int, other: str, other_n: int):
-        return (df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(own_n)).cast("int"))
-                  .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))))
+        # fresh column identities, as both sides may come from one table
+        return (df.select(*[F.col(c).alias(c) for c in df.columns])
+                .withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))))
 
     a = cells(left, left_id, "_lb", n_left, "_rb", n_right)
     b = cells(right, right_id, "_rb", n_right, "_lb", n_left)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.grid import grid_apply
+from loomgraph.session import materialize
 
 BLOCK_ROWS = 4096
 # similarities are compared at this many digits, so that equal vectors tie in every block
@@ -47,8 +48,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: b
     ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector are
     skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
     """
-    q = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
-    c = candidates.select("cand_id", "embedding").where(F.size("embedding") > 0)
+    # written once: both are counted and then read once per block of the other side
+    q = materialize(queries.select("query_id", "embedding").where(F.size("embedding") > 0), "queries")
+    c = materialize(candidates.select("cand_id", "embedding").where(F.size("embedding") > 0),
+                    "candidates")
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "cand_id": [], "similarity": []})

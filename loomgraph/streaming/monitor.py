@@ -1,6 +1,7 @@
 """The behaviour monitor as a stateful stream, one small state per run."""
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomgraph.operators.monitor import (CALLS_REASON, DRIFT_REASON, DRIFT_THRESHOLD, LOOP_LIMIT,
-                                         LOOP_REASON, MAX_CALLS, OPEN_REASON, drift_column)
+                                         LOOP_REASON, MAX_CALLS, drift_column)
 
 OUTPUT = T.StructType.fromDDL(
     "run_id bigint, seq bigint, agent_name string, status string, reason string")
@@ -47,29 +48,44 @@ class Breaker(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         state = self._run.get()
         calls, is_open, reason = state if state else (0, False, None)
-        for row in _in_order(rows):
+        # the cap trips at its next call at the latest, so only the earliest rows can be judged;
+        # whatever falls out of this bounded heap comes after them and is rejected
+        room = 0 if is_open else self.max_calls + 1 - calls
+        judged: list = []
+        for n, row in enumerate(rows):
+            if room == 0:
+                yield _out(row, "rejected")
+            elif len(judged) < room:
+                heapq.heappush(judged, (-row.seq, -n, row))
+            else:
+                yield _out(heapq.heappushpop(judged, (-row.seq, -n, row))[2], "rejected")
+        for _, _, row in sorted(judged, key=lambda entry: (-entry[0], -entry[1])):
             if is_open:
-                yield Row(row.run_id, row.seq, row.agent_name, "rejected", OPEN_REASON % reason)
+                yield _out(row, "rejected")
                 continue
             calls += 1
             reason = self._violation(row, calls)
             is_open = reason is not None
             if is_open:
                 self._said.clear()
-            yield Row(row.run_id, row.seq, row.agent_name, "tripped" if is_open else "accepted", reason)
+            yield _out(row, "tripped" if is_open else "accepted", reason)
         self._run.update((calls, is_open, reason))
 
     def close(self) -> None:
         pass
 
 
-def _in_order(rows: Iterator[Row]) -> list[Row]:
-    return sorted(rows, key=lambda r: r.seq)
+def _out(row: Row, status: str, reason: str | None = None) -> Row:
+    return Row(run_id=row.run_id, seq=row.seq, agent_name=row.agent_name, status=status,
+               reason=reason)
 
 
 def monitor_stream(stream: DataFrame, loop_limit: int = LOOP_LIMIT, max_calls: int = MAX_CALLS,
                    drift: float = DRIFT_THRESHOLD) -> DataFrame:
-    """Streaming form of ``operators.monitor.monitor``; actions of a run must arrive in order."""
+    """Streaming form of ``operators.monitor.monitor``; micro-batches must arrive in run order.
+
+    The reason stands on the tripped row; rejected rows carry none.
+    """
     rows = stream.select("run_id", "seq", "agent_name", "response",
                          drift_column(stream).alias("similarity"))
     return rows.groupBy("run_id").transformWithState(
