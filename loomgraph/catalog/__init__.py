@@ -1,3 +1,4 @@
 """Every operator as a query over the given tables."""
-from loomgraph.catalog import graph, matching, telemetry  # noqa: F401
+from loomgraph.catalog import (behaviour, evaluation, graph, matching, streams,  # noqa: F401
+                               telemetry)
 from loomgraph.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -6,8 +6,7 @@ match (in Arrow batches); Spark only has to bring the few candidate pairs togeth
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -77,12 +76,16 @@ def text_grams(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(GRAM))))
 
 
-@lru_cache(maxsize=4096)
-def _compiled(expression: str) -> re.Pattern:
-    return re.compile(expression)
+def finder(expression: str, anchor: str) -> Callable[[str], re.Match | None]:
+    pattern = re.compile(expression)
+    return pattern.match if anchor == "start" else pattern.search
 
 
-def hits(expression: str, anchor: str, *texts: str | None) -> bool:
-    pattern = _compiled(expression)
-    find = pattern.match if anchor == "start" else pattern.search
+def hits(find: Callable[[str], re.Match | None], *texts: str | None) -> bool:
     return any(t is not None and find(t) is not None for t in texts)
+
+
+def match_pairs(anchor: str, expressions: pd.Series, *texts: pd.Series) -> pd.Series:
+    """Row by row: does the expression match one of the texts?  Each one is compiled once."""
+    finders = {e: finder(e, anchor) for e in expressions.unique()}
+    return pd.Series([hits(finders[e], *row) for e, *row in zip(expressions, *texts)], dtype=bool)

@@ -40,8 +40,7 @@ def valid_patterns(defs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _residual(anchor: str):
     @F.pandas_udf("boolean")
     def match(expression: pd.Series, raw: pd.Series, clean: pd.Series) -> pd.Series:
-        return pd.Series([patterns.hits(e, anchor, r, c)
-                          for e, r, c in zip(expression, raw, clean)], dtype=bool)
+        return patterns.match_pairs(anchor, expression, raw, clean)
     return match
 
 
@@ -95,10 +94,11 @@ def _grid_match(plain: DataFrame, defs: DataFrame, anchor: str, n_defs: int, blo
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ordered = right.sort_values(order, na_position="first")
-        tries = list(zip(ordered["definition_id"], ordered["expression"]))
+        tries = [(d, patterns.finder(e, anchor))
+                 for d, e in zip(ordered["definition_id"], ordered["expression"])]
         out = []
         for text, clean in zip(left["text"], left["clean"]):
-            first = next((d for d, e in tries if patterns.hits(e, anchor, text, clean)), None)
+            first = next((d for d, find in tries if patterns.hits(find, text, clean)), None)
             if first is not None:
                 out.append((text, first))
         return pd.DataFrame(out, columns=["text", "definition_id"])

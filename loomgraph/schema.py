@@ -1,23 +1,15 @@
 """Node, edge, log and evaluation schemas, and the label maps of the property graph."""
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-VECTOR = T.ArrayType(T.DoubleType())
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-STORY = _struct("story_id string, title string, description string, "
-                "embedding array<double>, verified_spec string")
-STEP = _struct("step_id string, step_type string, text string, embedding array<double>")
-DEFINITION = _struct("definition_id string, expression string, code_block string, "
-                     "embedding array<double>")
-IMPLEMENTS = _struct("story_id string, step_id string")
-BINDS = _struct("step_id string, definition_id string")
-DEPENDS_ON = _struct("story_id string, depends_on_story_id string")
+# Schemas are DDL text: Spark takes it wherever a schema is asked for, and it needs no session.
+STORY = ("story_id string, title string, description string, embedding array<double>, "
+         "verified_spec string")
+STEP = "step_id string, step_type string, text string, embedding array<double>"
+DEFINITION = ("definition_id string, expression string, code_block string, "
+              "embedding array<double>")
+IMPLEMENTS = "story_id string, step_id string"
+BINDS = "step_id string, definition_id string"
+DEPENDS_ON = "story_id string, depends_on_story_id string"
 
 # Node labels with their key column, edge labels with their (source, target) columns.
 NODE_KEYS = {"UserStory": "story_id", "GherkinStep": "step_id", "RubyDefinition": "definition_id"}
@@ -50,7 +42,7 @@ def edge_key(label: str) -> tuple[str, str]:
 
 
 # Column names of the exported inference log.
-LOG = _struct("""
+LOG = """
     logName string, textPayload string, timestamp timestamp, receiveTimestamp timestamp,
     severity string, insertId string, trace string, spanId string, traceSampled boolean,
     resource struct<type: string, labels: struct<project_id: string, location: string>>,
@@ -62,27 +54,27 @@ LOG = _struct("""
         gen_ai_tool_definitions: string, gen_ai_tool_definitions_ref: string,
         gcp_vertex_agent_invocation_id: string, gcp_vertex_agent_event_id: string,
         event_name: string, user_id: string>
-""")
-COMPLETION = _struct("""
+"""
+COMPLETION = """
     parts array<struct<type: string, content: string, mime_type: string, uri: string,
         data: binary, id: string, name: string, arguments: string, response: string>>,
     role string, index bigint
-""")
-EVAL_CASE = _struct("""
+"""
+EVAL_CASE = """
     case_id string, component string, description string,
     input struct<agent_name: string, prompt: string, outputs: array<string>,
         original_story_embedding: array<double>, response_embedding: array<double>,
         step_type: string, step_text: string, existing_phrase: string>,
     expected struct<circuit_breaker_tripped: boolean, reason_contains: string,
         is_approved: boolean, reused: boolean, scaffolded: boolean>
-""")
+"""
 _CONTENT = "struct<role: string, parts: array<struct<text: string>>>"
-EVAL_DATASET = _struct(f"""
+EVAL_DATASET = f"""
     eval_cases array<struct<
         eval_case_id: string, prompt: {_CONTENT},
         agent_data: struct<turns: array<struct<turn_index: bigint,
             events: array<struct<author: string, content: {_CONTENT}>>>>>,
         reference: struct<response: {_CONTENT}>>>
-""")
-ACTION = _struct("run_id bigint, seq bigint, agent_name string, prompt string, response string, "
-                 "timestamp timestamp, story_vec array<double>, response_vec array<double>")
+"""
+ACTION = ("run_id bigint, seq bigint, agent_name string, prompt string, response string, "
+          "timestamp timestamp, story_vec array<double>, response_vec array<double>")

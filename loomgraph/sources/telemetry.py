@@ -19,7 +19,7 @@ def read_logs(spark: SparkSession, path: str, since: str | None = None,
         logs = logs.where(F.col("dt") >= F.lit(since).cast("date"))
     if until:
         logs = logs.where(F.col("dt") <= F.lit(until).cast("date"))
-    missing = [f for f in LOG.fields if f.name not in logs.columns]
+    missing = [f for f in T.StructType.fromDDL(LOG).fields if f.name not in logs.columns]
     for field in missing:
         logs = logs.withColumn(field.name, F.lit(None).cast(field.dataType))
     return logs
@@ -37,8 +37,7 @@ def scan_completions(spark: SparkSession, path: str) -> tuple[DataFrame, Observa
     Unknown fields are ignored, bad lines dropped.  Counting happens inside the one scan; call
     ``enforce_bad_limit`` once an action on the result has run.
     """
-    schema = T.StructType(COMPLETION.fields + [T.StructField(_CORRUPT, T.StringType())])
-    raw = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+    raw = (spark.read.schema(f"{COMPLETION}, {_CORRUPT} string").option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", _CORRUPT).option("recursiveFileLookup", "true")
            .json(path).select("*", F.col("_metadata.file_path").alias("file_uri")))
     seen = Observation()

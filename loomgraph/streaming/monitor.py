@@ -13,11 +13,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from loomgraph.operators.monitor import (CALLS_REASON, DRIFT_REASON, DRIFT_THRESHOLD, LOOP_LIMIT,
                                          LOOP_REASON, MAX_CALLS, drift_column)
 
-OUTPUT = T.StructType.fromDDL(
-    "run_id bigint, seq bigint, agent_name string, status string, reason string")
-_RUN = T.StructType.fromDDL("calls bigint, open boolean, reason string")
-_AGENT = T.StructType.fromDDL("agent_name string")
-_SAID = T.StructType.fromDDL("responses array<string>")
+OUTPUT = "run_id bigint, seq bigint, agent_name string, status string, reason string"
+# workers open these without a session, so no DDL text here
+_RUN = T.StructType([T.StructField("calls", T.LongType()), T.StructField("open", T.BooleanType()),
+                     T.StructField("reason", T.StringType())])
+_AGENT = T.StructType([T.StructField("agent_name", T.StringType())])
+_SAID = T.StructType([T.StructField("responses", T.ArrayType(T.StringType()))])
 
 
 class Breaker(StatefulProcessor):
