@@ -7,7 +7,7 @@ from loomgraph.catalog.fixtures import load, run
 from loomgraph.catalog.registry import query
 from loomgraph.functions.text import clamp_score, unsafe_flag
 from loomgraph.operators import evals as ev
-from loomgraph.session import shared_path
+from loomgraph.session import shared_path, spread
 
 WORDS = ("token", "password", "secret")
 
@@ -107,7 +107,7 @@ def turn_count(spark, sf):
         FROM {documents} c""")
 def metric_registry(spark, sf):
     """Two Column metrics and a Python one over the same instances."""
-    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text", "n_chars")
+    docs = spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("case_id"), "text", "n_chars")
     metrics = (ev.MetricRegistry()
                .add("chars", F.col("n_chars"))
                .add("unsafe", unsafe_flag(F.col("text"), WORDS).cast("int"))

@@ -6,6 +6,7 @@ spliced in as a subquery, so every query that uses one reads the given tables th
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -242,5 +243,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     root = sf_dir.rstrip("/")
-    # backslashes in literals mean themselves, as in DuckDB
-    return spark.sql(expand(sql, lambda name: f"parquet.`{root}/{name}.parquet`", 0))
+
+    def view(name: str) -> str:
+        # one view per folder and table, so that a file's schema is read once
+        known = f"given_{zlib.crc32(root.encode())}_{name}"
+        if not spark.catalog.tableExists(known):
+            spark.read.parquet(f"{root}/{name}.parquet").createOrReplaceTempView(known)
+        return known
+
+    return spark.sql(expand(sql, view, 0))

@@ -8,13 +8,19 @@ from loomgraph.catalog.registry import query
 from loomgraph.operators import graph as g
 from loomgraph.operators import tables as t
 from loomgraph.schema import BINDS
+from loomgraph.session import materialize
 
 
-def story_graph(spark, sf) -> g.StoryGraph:
+def story_graph(spark, sf, stored: bool = False) -> g.StoryGraph:
+    """The graph over the logical tables; ``stored`` writes the step side down first, as the
+    multi-step operators read it several times."""
+    keep = materialize if stored else (lambda df, _: df)
     return g.StoryGraph(
-        stories=load(spark, sf, "v_story"), steps=load(spark, sf, "v_vec_step"),
-        definitions=load(spark, sf, "v_defs"), implements=load(spark, sf, "v_implements"),
-        binds=load(spark, sf, "v_binds"), depends_on=load(spark, sf, "v_story_depends"))
+        stories=load(spark, sf, "v_story"), implements=load(spark, sf, "v_implements"),
+        steps=keep(load(spark, sf, "v_vec_step"), "graph_steps"),
+        definitions=keep(load(spark, sf, "v_defs"), "graph_definitions"),
+        binds=keep(load(spark, sf, "v_binds"), "graph_binds"),
+        depends_on=load(spark, sf, "v_story_depends"))
 
 
 @query("pattern_implements", """

@@ -13,6 +13,7 @@ from loomgraph.operators import match as m
 from loomgraph.operators import nearest as nn
 from loomgraph.plans.features import feature_report as report
 from loomgraph.plans.ingest import build_graph
+from loomgraph.session import spread
 from loomgraph.sources import corpus
 
 FIRST = ("expression",)  # definitions come in the order of their expressions
@@ -28,7 +29,7 @@ FIRST = ("expression",)  # definitions come in the order of their expressions
                  generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {documents} d) u
     WHERE regexp_matches(line, '^(The|Of|And)\\s+(.*)$')""")
 def parse_steps(spark, sf):
-    files = load(spark, sf, "documents").select(F.col("doc_id").alias("file_name"),
+    files = spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("file_name"),
                                                 F.col("text").alias("content"))
     return corpus.parse_steps(files, ("The", "Of", "And")).withColumnRenamed("file_name", "doc_id")
 
@@ -183,7 +184,7 @@ def retrieval_context(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY q.vec_id
                                ORDER BY {_sim('q', 's')} DESC, s.step_id, d.definition_id) = 1""")
 def closest_definition(spark, sf):
-    graph = story_graph(spark, sf)
+    graph = story_graph(spark, sf, stored=True)
     queries = run(spark, sf, "SELECT vec_id AS query_id, {to_vec} AS embedding FROM {embeddings}")
     near = nn.closest_definition(queries, graph.steps, graph.binds, graph.definitions)
     return near.withColumn("similarity", F.round("similarity", 6)).drop("rank")
@@ -224,7 +225,7 @@ _RESOLVED = f"""
 @query("step_resolution", "SELECT step_id, action, definition_id, similarity FROM ("
        + _RESOLVED.replace("ORDERING", "expression") + ") r")
 def step_resolution(spark, sf):
-    graph = story_graph(spark, sf)
+    graph = story_graph(spark, sf, stored=True)
     found = m.resolve_steps(graph.steps, graph.steps, graph.binds, graph.definitions, order_by=FIRST)
     return found.withColumn("similarity", F.round("similarity", 6))
 
@@ -239,7 +240,7 @@ def step_resolution(spark, sf):
     FROM {v_vec_line} l LEFT JOIN hit h ON h.step_id = l.step_id GROUP BY l.brand""")
 def feature_report(spark, sf):
     """Coverage per brand after the lines were mapped."""
-    return report(load(spark, sf, "v_vec_line"), story_graph(spark, sf), ["brand"]).coverage
+    return report(load(spark, sf, "v_vec_line"), story_graph(spark, sf, stored=True), ["brand"]).coverage
 
 
 @query("feature_orphans", "WITH resolved AS (" + _RESOLVED.replace("ORDERING", "definition_id") + """)
@@ -248,7 +249,7 @@ def feature_report(spark, sf):
       AND definition_id NOT IN (SELECT definition_id FROM resolved WHERE definition_id IS NOT NULL)""")
 def feature_orphans(spark, sf):
     """Definitions left without an edge after the lines were mapped."""
-    return report(load(spark, sf, "v_vec_line"), story_graph(spark, sf)).pruned.select("definition_id")
+    return report(load(spark, sf, "v_vec_line"), story_graph(spark, sf, stored=True)).pruned.select("definition_id")
 
 
 @query("phrase_list", """
@@ -278,7 +279,7 @@ def widen_expression(spark, sf):
                '^```ruby\\n', ''), '\\n```$', '') AS code
     FROM {documents} d""")
 def strip_fences(spark, sf):
-    docs = load(spark, sf, "documents")
+    docs = spread(load(spark, sf, "documents"))
     fenced = F.concat(F.lit("```ruby\n"), F.col("text"), F.lit("\n```\n"))
     code = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))
     return docs.select("doc_id", tx.strip_fence(code).alias("code"))
@@ -296,7 +297,7 @@ def normalise_steps(spark, sf):
     SELECT doc_id, regexp_matches(lower(text), 'token|password|secret') AS unsafe FROM {documents} d""")
 def unsafe_flag(spark, sf):
     words = ("token", "password", "secret")
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents")).select(
         "doc_id", tx.unsafe_flag(F.col("text"), words).alias("unsafe"))
 
 
@@ -319,7 +320,7 @@ def embed_udf(spark, sf):
     """A user function as the embedding stage."""
     def shares(texts: list[str]) -> list[list[float]]:
         return [[t.count(c) / max(1, len(t)) for c in "aeiou"] for t in texts]
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf, "documents")).select("doc_id", "text")
     return embed(docs, "text", shares).select("doc_id", "embedding")
 
 
@@ -328,7 +329,7 @@ def embed_udf(spark, sf):
        .replace("{{", "{").replace("}}", "}"))
 def embed_hashing(spark, sf):
     """Hashed TF-IDF vectors have length 1."""
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf, "documents")).select("doc_id", "text")
     rows = embed(docs.where(F.rlike("text", F.lit("[a-z]{3}"))), "text", dims=256)
     return rows.select("doc_id", F.round(vec.norm(F.col("embedding")), 6).alias("norm"))
 
@@ -345,7 +346,7 @@ def embed_hashing(spark, sf):
     UNION ALL SELECT 'DEPENDS_ON', 0""")
 def ingest_graph(spark, sf):
     """Three corpora to one graph; a definition per part, each step bound to its own."""
-    graph = build_graph(load(spark, sf, "v_file").select("file_name", "content"),
+    graph = build_graph(spread(load(spark, sf, "v_file")).select("file_name", "content"),
                         load(spark, sf, "v_rb"), load(spark, sf, "v_feature"),
                         embed_fn=lambda df, col: embed(df, col, dims=64))
     both = graph.nodes().select("label").unionByName(graph.edges().select("label"))

@@ -17,7 +17,7 @@ from loomgraph.functions.text import (DEFINITION_PREFIX, content_id, normalise_s
                                       ratio_or_one)
 from loomgraph.operators.grid import grid_apply
 from loomgraph.operators.nearest import closest_definition
-from loomgraph.session import materialize
+from loomgraph.session import materialize, spread
 
 ORDER = ("definition_id",)
 MIN_SIMILARITY = 0.6  # fixed value: least similarity of a close match
@@ -55,8 +55,11 @@ def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normali
     if anchor not in ("start", "none"):
         raise ValueError(f"unknown anchor: {anchor}")
     rank = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in ORDER if c not in order_by])
+    # parsing regexes is CPU work on a small table: hand every core a share of it
+    shares = int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vetted = materialize(
-        vet_patterns(defs.select("definition_id", "expression", rank.alias("rank")))
+        vet_patterns(defs.select("definition_id", "expression", rank.alias("rank"))
+                     .repartition(shares, "definition_id"))
         .where("reason IS NULL").drop("reason"), "vetted_defs")
     clean = normalise_step(F.col("text")) if normalise else F.lit(None).cast("string")
     plain = materialize(
@@ -64,7 +67,7 @@ def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normali
         .withColumn("clean", clean), "distinct_texts")
 
     blockable = vetted.where(F.size("grams") > 0)
-    pieces = plain.select("text", "clean", F.explode(patterns.text_grams(F.col("text"))).alias("gram"))
+    pieces = spread(plain).select("text", "clean", F.explode(patterns.text_grams(F.col("text"))).alias("gram"))
     wanted = blockable.select("definition_id", F.explode("grams").alias("gram"))
     counts = (pieces.select("gram").join(wanted.select("gram").dropDuplicates(), "gram", "left_semi")
               .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))

@@ -59,6 +59,15 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a table stored in fewer pieces than there are cores; else leave it.
+
+    Only for plain scans ahead of CPU-heavy work: a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_bucketed(df: DataFrame, label: str, key: str) -> str:
     """Write ``df`` hash-bucketed on ``key`` and return the table name.
 

@@ -34,10 +34,11 @@ class Breaker(StatefulProcessor):
         self._run = handle.getValueState("run", _RUN)
         self._said = handle.getMapState("said", _AGENT, _SAID)
 
-    def _violation(self, row: Row, calls: int) -> str | None:
-        said = self._said.getValue((row.agent_name,))
-        last = ([*said[0], row.response] if said else [row.response])[-self.loop_limit:]
-        self._said.updateValue((row.agent_name,), (last,))
+    def _violation(self, row: Row, calls: int, said: dict[str, list[str]]) -> str | None:
+        if row.agent_name not in said:
+            stored = self._said.getValue((row.agent_name,))
+            said[row.agent_name] = list(stored[0]) if stored else []
+        last = said[row.agent_name] = [*said[row.agent_name], row.response][-self.loop_limit:]
         if calls > self.max_calls:
             return CALLS_REASON % self.max_calls
         if len(last) == self.loop_limit and len(set(last)) == 1:
@@ -60,16 +61,20 @@ class Breaker(StatefulProcessor):
                 heapq.heappush(judged, (-row.seq, -n, row))
             else:
                 yield _out(heapq.heappushpop(judged, (-row.seq, -n, row))[2], "rejected")
+        said: dict[str, list[str]] = {}
         for _, _, row in sorted(judged, key=lambda entry: (-entry[0], -entry[1])):
             if is_open:
                 yield _out(row, "rejected")
                 continue
             calls += 1
-            reason = self._violation(row, calls)
+            reason = self._violation(row, calls, said)
             is_open = reason is not None
-            if is_open:
-                self._said.clear()
             yield _out(row, "tripped" if is_open else "accepted", reason)
+        if is_open:
+            self._said.clear()
+        else:
+            for agent, last in said.items():
+                self._said.updateValue((agent,), (last,))
         self._run.update((calls, is_open, reason))
 
     def close(self) -> None:
