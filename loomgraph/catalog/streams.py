@@ -13,7 +13,7 @@ from loomgraph.operators import routing
 from loomgraph.schema import BINDS, IMPLEMENTS
 from loomgraph.session import shared_path
 from loomgraph.streaming.dedup import dedup_stream
-from loomgraph.streaming.ingest import latest_version, read_graph, start_ingest, write_graph
+from loomgraph.streaming.ingest import read_graph, start_ingest, write_base
 from loomgraph.streaming.monitor import monitor_stream, rocksdb
 from loomgraph.streaming.routes import start_route
 
@@ -88,16 +88,14 @@ def stream_dedup(spark, sf):
     UNION ALL SELECT 'IMPLEMENTS', story_id, step_id FROM {{v_implements}} i""")
 def stream_ingest(spark, sf):
     """Step lines arrive as a stream and grow a graph that only had definitions."""
-    root = shared_path(spark, "graph_versions")
+    root = shared_path(spark, "growing_graph")
     start = story_graph(spark, sf)
-    empty = start.with_tables(steps=start.steps.where(F.lit(False)),
-                              implements=spark.createDataFrame([], IMPLEMENTS),
-                              binds=spark.createDataFrame([], BINDS))
-    write_graph(empty, root, 0)
+    write_base(start.with_tables(
+        steps=start.steps.where(F.lit(False)), implements=spark.createDataFrame([], IMPLEMENTS),
+        binds=spark.createDataFrame([], BINDS)), root)
     links = load(spark, sf, "v_implements")
     lines = load(spark, sf, "v_line").join(links, "step_id", "left").select(
         "story_id", "step_id", "step_type", "text", "ord")
-    done = start_ingest(as_stream(spark, lines, "line_stream"), root, f"{root}/state")
-    done.awaitTermination()
-    grown = read_graph(spark, root, latest_version(done))
+    start_ingest(as_stream(spark, lines, "line_stream"), root, f"{root}/state").awaitTermination()
+    grown = read_graph(spark, root)
     return grown.edges().where("label <> 'DEPENDS_ON'").select("label", "src", "dst")

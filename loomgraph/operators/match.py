@@ -44,6 +44,16 @@ def _residual(anchor: str):
     return match
 
 
+def prepare_definitions(defs: DataFrame, order_by: tuple[str, ...] = ORDER) -> DataFrame:
+    """Usable definitions with their rank and literal grams, written down for repeated matching."""
+    rank = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in ORDER if c not in order_by])
+    # parsing regexes is CPU work on a small table: hand every core a share of it
+    shares = int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = defs.select("definition_id", "expression", rank.alias("rank"))
+    vetted = vet_patterns(ranked.repartition(shares, "definition_id"))
+    return materialize(vetted.where("reason IS NULL").drop("reason"), "vetted_defs")
+
+
 def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normalise: bool = False,
                 order_by: tuple[str, ...] = ORDER, block_rows: int = 4096) -> DataFrame:
     """(text, definition_id) of the first matching definition, for the distinct texts that have one.
@@ -51,16 +61,11 @@ def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normali
     ``anchor='start'``: the match must begin at the text's start; ``'none'``: anywhere.
     ``normalise``: the normalised text counts as well as the raw one.
     ``order_by``: definition columns that say which definition comes first.
+    ``defs`` may be the result of ``prepare_definitions``, which has that order built in.
     """
     if anchor not in ("start", "none"):
         raise ValueError(f"unknown anchor: {anchor}")
-    rank = F.struct(*[F.col(c) for c in order_by], *[F.col(c) for c in ORDER if c not in order_by])
-    # parsing regexes is CPU work on a small table: hand every core a share of it
-    shares = int(defs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vetted = materialize(
-        vet_patterns(defs.select("definition_id", "expression", rank.alias("rank"))
-                     .repartition(shares, "definition_id"))
-        .where("reason IS NULL").drop("reason"), "vetted_defs")
+    vetted = defs if "grams" in defs.columns else prepare_definitions(defs, order_by)
     clean = normalise_step(F.col("text")) if normalise else F.lit(None).cast("string")
     plain = materialize(
         texts.select("text").where("text IS NOT NULL").dropDuplicates()

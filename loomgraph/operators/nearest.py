@@ -1,21 +1,29 @@
 """Exact nearest neighbours by cosine, for a whole table of queries at once.
 
-The block grid bounds every task; a cell's kernel is one matrix product that keeps only the k best
-candidates per query, so k rows per query and block are all that is shuffled afterwards.
+Candidates are placed in cells around a few pivots (candidates themselves).  Angles obey the
+triangle inequality, so a query only has to visit a cell when its angle to the pivot, less the
+cell's radius, is within the bound on its k-th best angle.  A cell and its visitors are cut into blocks of bounded
+size; one block pair is one matrix product that keeps the k best candidates per query, so neither
+pairs nor a large group ever exist, and nothing but the pivots goes through the driver.
 """
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.grid import grid_apply
 from loomgraph.session import materialize
 
 BLOCK_ROWS = 4096
+MAX_PIVOTS = 256
 # similarities are compared at this many digits, so that equal vectors tie in every block
 DIGITS = 12
+# radians by which a bound on angles is widened, far above the rounding of arccos
+SLACK = 1e-6
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -41,22 +49,47 @@ def _scores(left: pd.Series, right: pd.Series) -> np.ndarray:
     return np.round(np.clip(out, -1.0, 1.0), DIGITS)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: bool = True,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, cand_id, similarity, rank) of the k best candidates per query.
-
-    ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector are
-    skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
-    """
-    # written once: both are counted and then read once per block of the other side
-    q = materialize(queries.select("query_id", "embedding").where(F.size("embedding") > 0), "queries")
-    c = materialize(candidates.select("cand_id", "embedding").where(F.size("embedding") > 0),
-                    "candidates")
-
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "cand_id": [], "similarity": []})
+def _angles(vectors: pd.Series, pivots: pd.Series) -> np.ndarray:
+    return np.arccos(_scores(vectors, pivots))
+
+
+def _placer(pivots: pd.Series):
+    """Give each candidate the cell of its nearest pivot and its angle to it."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            angles = _angles(pdf["embedding"], pivots)
+            cell = angles.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell])
+    return place
+
+
+def _visitor(pivot_ids: list, pivots: pd.Series, sizes: np.ndarray, radii: np.ndarray, k: int,
+             exclude_self: bool):
+    """Give each query the cells that can hold one of its k best candidates."""
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            angles = _angles(pdf["embedding"], pivots)
+            # k candidates are certainly this near: the k nearest pivots, or the nearest cells whole
+            known = angles.copy()
+            if exclude_self:
+                own = pdf["query_id"].to_numpy()[:, None] == np.array(pivot_ids)[None, :]
+                known[own] = np.inf
+            bound = np.full(len(pdf), np.inf)
+            if len(pivot_ids) >= k:
+                bound = np.partition(known, k - 1, axis=1)[:, k - 1]
+            far = angles + radii
+            order = far.argsort(axis=1)
+            enough = np.cumsum(sizes[order], axis=1) >= k + int(exclude_self)
+            whole = np.where(enough, np.take_along_axis(far, order, axis=1), np.inf).min(axis=1)
+            near = angles - radii <= (np.minimum(bound, whole) + SLACK)[:, None]
+            yield pdf.assign(cells=[np.flatnonzero(row).astype("int32") for row in near & (sizes > 0)])
+    return visit
+
+
+def _kernel(k: int, exclude_self: bool):
+    def best_of_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return empty
+            return pd.DataFrame({"query_id": [], "cand_id": [], "similarity": []})
         right = right.sort_values("cand_id", ignore_index=True)
         cand = right["cand_id"].to_numpy()
         sims = _scores(left["embedding"], right["embedding"])
@@ -71,12 +104,58 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: b
         rows, cols = rows[keep], cols[keep]
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows],
                              "cand_id": cand[cols], "similarity": sims[rows, cols]})
+    return best_of_block
+
 
+def _per_cell(values: list[int]) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values or [0]]), F.col("cell"))
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: bool = True,
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, cand_id, similarity, rank) of the k best candidates per query.
+
+    ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector are
+    skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
+    """
+    q = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    c = materialize(candidates.select("cand_id", "embedding").where(F.size("embedding") > 0),
+                    "candidates")
     id_type = {f.name: f.dataType.simpleString() for f in q.schema.fields + c.schema.fields}
-    schema = f"query_id {id_type['query_id']}, cand_id {id_type['cand_id']}, similarity double"
-    cells = grid_apply(q, c, "query_id", "cand_id", kernel, schema, q.count(), c.count(), block_rows)
+    q_cols = f"query_id {id_type['query_id']}, embedding array<double>"
+    c_cols = f"cand_id {id_type['cand_id']}, embedding array<double>"
+
+    n_pivots = min(MAX_PIVOTS, math.ceil(c.count() / block_rows))
+    pivots = c.orderBy(F.xxhash64("cand_id")).limit(n_pivots).toPandas()  # at most MAX_PIVOTS rows
+    n_pivots = len(pivots)
+    vectors = pivots["embedding"]
+    placed = c.mapInPandas(_placer(vectors), f"{c_cols}, cell int, angle double")
+    sizes, radii = np.zeros(n_pivots), np.zeros(n_pivots)
+    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
+        sizes[row.cell], radii[row.cell] = row.n, row.r
+    # written once, as it is counted and then shuffled
+    visits = materialize(
+        q.mapInPandas(_visitor(pivots["cand_id"].tolist(), vectors, sizes, radii, k, exclude_self),
+                      f"{q_cols}, cells array<int>"), "visits") if n_pivots else (
+        q.withColumn("cells", F.array().cast("array<int>")))
+    visits = visits.select("query_id", "embedding", F.explode("cells").alias("cell"))
+    seen = np.zeros(n_pivots)
+    for row in visits.groupBy("cell").count().collect():
+        seen[row["cell"]] = row["count"]
+    c_blocks = _per_cell([math.ceil(n / block_rows) for n in sizes])
+    q_blocks = _per_cell([math.ceil(n / block_rows) for n in seen])
+
+    left = (visits.withColumn("cb", F.explode(F.sequence(F.lit(0), c_blocks - 1)))
+            .withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks).cast("int")))
+    right = (placed.drop("angle").where(q_blocks > 0)
+             .withColumn("cb", F.pmod(F.xxhash64("cand_id"), c_blocks).cast("int"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), q_blocks - 1))))
+    block = ["cell", "cb", "qb"]
+    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(
+        _kernel(k, exclude_self), f"query_id {id_type['query_id']}, cand_id {id_type['cand_id']}, "
+                                  "similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")
-    return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_verified(queries: DataFrame, stories: DataFrame, k: int = 1,

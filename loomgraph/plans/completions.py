@@ -39,24 +39,18 @@ def unpivot_refs(refs: DataFrame) -> DataFrame:
             .withColumn("api_call_id", api_call_id(F.col("messages_ref_uri"))))
 
 
-def flatten_parts(refs: DataFrame, completions: DataFrame) -> DataFrame:
-    """Join the references to their file lines and give each message part a row.
+def part_keys(refs: DataFrame, completions: DataFrame) -> DataFrame:
+    """References joined to their file lines, one row per message part, without any content.
 
     Assistant messages echoed back as input, and input without a role, never reach the result;
     ``role`` and ``message_type`` are keys of both later steps, so they are dropped right here.
     """
-    files = completions.select(F.col("file_uri").alias("messages_ref_uri"), "role", "parts",
-                               F.col("index").alias("message_idx"))
-    joined = refs.join(files, "messages_ref_uri").where(
+    lines = completions.select(F.col("file_uri").alias("messages_ref_uri"), "role",
+                               F.col("index").alias("message_idx"), F.size("parts").alias("n_parts"))
+    joined = refs.join(lines.where("n_parts > 0"), "messages_ref_uri").where(
         ~((F.col("message_type") == "input") & (F.col("role") == "assistant")))
-    rest = [c for c in joined.columns if c != "parts"]
-    rows = joined.select(*rest, F.posexplode("parts").alias("part_idx", "part"))
-    return rows.select(
-        *rest, F.col("part_idx").cast("bigint").alias("part_idx"), F.col("part.content").alias("content"),
-        F.col("part.type").alias("part_type"), F.col("part.name").alias("tool_name"),
-        F.col("part.arguments").alias("tool_args"), F.col("part.response").alias("tool_response"),
-        F.col("part.uri").alias("uri"), F.col("part.mime_type").alias("mime_type"),
-        F.md5("part.data").alias("data_md5_hex"), F.col("part.id").alias("tool_id"))
+    part_idx = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_parts").cast("bigint") - 1))
+    return joined.withColumn("part_idx", part_idx).drop("n_parts")
 
 
 def dedup_parts(parts: DataFrame) -> DataFrame:
@@ -67,7 +61,7 @@ def dedup_parts(parts: DataFrame) -> DataFrame:
     the shuffle.  So rows without a conversation id do not pile up in one task either.
     """
     message = ["conversation_id", "message_type", "role", "message_idx", "part_idx"]
-    ties = ["insert_id", "messages_ref_uri", "content"]
+    ties = ["insert_id", "messages_ref_uri"]
     newest = Window.partitionBy(*message, "trace", "span_id").orderBy(F.desc("timestamp"), *ties)
     is_output = F.col("message_type") == "output"
     oldest = Window.partitionBy(*message, F.when(is_output, F.col("trace")),
@@ -76,10 +70,41 @@ def dedup_parts(parts: DataFrame) -> DataFrame:
     return once.withColumn("_n", F.row_number().over(oldest)).where("_n = 1").drop("_n")
 
 
+def attach_parts(winners: DataFrame, completions: DataFrame) -> DataFrame:
+    """Fetch the content of the parts that stay.
+
+    A line is found by its file, role and index; should a file hold several such lines, one of them
+    is taken, as in the view.  That last step runs on the join's own partitioning.
+    """
+    line = F.concat(F.coalesce(F.col("message_idx").cast("string"), F.lit("")), F.lit("|"),
+                    F.coalesce("role", F.lit("\0")))
+    files = completions.select(F.col("file_uri").alias("messages_ref_uri"), "role", "parts",
+                               F.col("index").alias("message_idx")).select(
+        "messages_ref_uri", line.alias("_line"), "parts")
+    part = F.try_element_at("parts", (F.col("part_idx") + 1).cast("int"))
+    rows = (winners.withColumn("_line", line).join(files, ["messages_ref_uri", "_line"])
+            .where(F.size("parts") > F.col("part_idx")).withColumn("part", part).drop("parts"))
+    keys = ["messages_ref_uri", "_line", "part_idx", "message_type", "insert_id", "trace", "span_id",
+            "conversation_id", "timestamp"]
+    one = Window.partitionBy(*keys).orderBy("part.content")
+    rows = rows.withColumn("_n", F.row_number().over(one)).where("_n = 1")
+    return rows.select(
+        *[c for c in winners.columns], F.col("part.content").alias("content"),
+        F.col("part.type").alias("part_type"), F.col("part.name").alias("tool_name"),
+        F.col("part.arguments").alias("tool_args"), F.col("part.response").alias("tool_response"),
+        F.col("part.uri").alias("uri"), F.col("part.mime_type").alias("mime_type"),
+        F.md5("part.data").alias("data_md5_hex"), F.col("part.id").alias("tool_id"))
+
+
 def completions_view(logs: DataFrame, completions: DataFrame, ordered: bool = True) -> DataFrame:
-    """The whole view; ``ordered=False`` leaves out the global sort, e.g. for a table write."""
+    """The whole view; ``ordered=False`` leaves out the global sort, e.g. for a table write.
+
+    Input files repeat the whole conversation, so most parts lose.  Both de-duplication steps
+    therefore run on keys only, and message content is shuffled once, to meet the few rows left.
+    """
     refs = unpivot_refs(log_refs(logs))
-    view = dedup_parts(flatten_parts(refs, completions)).select(*OUTPUT)
+    winners = dedup_parts(part_keys(refs, completions))
+    view = attach_parts(winners, completions).select(*OUTPUT)
     return view.orderBy(*SORT) if ordered else view
 
 

@@ -10,7 +10,7 @@ from loomgraph.functions.embedding import embed
 from loomgraph.functions.text import FEATURE_RULES, base_name, route_feature
 from loomgraph.operators.graph import StoryGraph
 from loomgraph.operators.match import first_match
-from loomgraph.operators.tables import upsert, upsert_edges
+from loomgraph.operators.tables import latest, upsert, upsert_edges
 from loomgraph.schema import DEPENDS_ON
 from loomgraph.session import materialize
 from loomgraph.sources.corpus import (definition_nodes, parse_definitions, parse_steps, read_corpus,
@@ -51,16 +51,29 @@ def build_graph(story_files: DataFrame, definition_files: DataFrame, feature_fil
         depends_on=spark.createDataFrame([], DEPENDS_ON))
 
 
-def ingest_steps(graph: StoryGraph, batch: DataFrame) -> StoryGraph:
-    """Upsert a batch of step lines (story_id, step_id, step_type, text, ord) into the graph.
+def step_changes(batch: DataFrame, defs: DataFrame) -> dict[str, DataFrame]:
+    """What a batch of step lines (story_id, step_id, step_type, text, ord) adds to the graph.
 
-    Adds the step nodes, their IMPLEMENTS edges, and a BINDS edge where a definition matches.
+    Step nodes, their IMPLEMENTS edges, and a BINDS edge where a definition matches.  The cost is
+    that of the batch: no graph table but the definitions is read.
     """
-    found = first_match(batch, graph.definitions, anchor="none", normalise=True)
-    binds = batch.join(found, "text").select("step_id", "definition_id")
-    steps = upsert(graph.steps, batch.select("step_id", "step_type", "text", "ord"),
-                   ["step_id"], "ord", mode="merge")
+    found = first_match(batch, defs, anchor="none", normalise=True)
+    return {
+        "steps": latest(batch.select("step_id", "step_type", "text", "ord"), ["step_id"], ["ord"]),
+        "implements": batch.where("story_id IS NOT NULL").select("story_id", "step_id").dropDuplicates(),
+        "binds": batch.join(found, "text").select("step_id", "definition_id").dropDuplicates(),
+    }
+
+
+def apply_changes(graph: StoryGraph, changes: dict[str, DataFrame], order_col: str) -> StoryGraph:
+    """The graph with changes merged in; ``order_col`` orders several changes of one step."""
+    steps = changes["steps"].select("step_id", "step_type", "text", order_col)
     return graph.with_tables(
-        steps=steps,
-        implements=upsert_edges(graph.implements, batch.where("story_id IS NOT NULL"), "IMPLEMENTS"),
-        binds=upsert_edges(graph.binds, binds, "BINDS"))
+        steps=upsert(graph.steps, steps, ["step_id"], order_col, mode="merge"),
+        implements=upsert_edges(graph.implements, changes["implements"], "IMPLEMENTS"),
+        binds=upsert_edges(graph.binds, changes["binds"], "BINDS"))
+
+
+def ingest_steps(graph: StoryGraph, batch: DataFrame) -> StoryGraph:
+    """Upsert a batch of step lines into the graph."""
+    return apply_changes(graph, step_changes(batch, graph.definitions), "ord")

@@ -1,44 +1,64 @@
-"""Continuous graph ingestion: every micro-batch of step lines becomes a new table version.
+"""Continuous graph ingestion: every micro-batch appends what it changes, readers merge on read.
 
-No table format with MERGE is assumed: a batch writes the next version of the changed tables under
-the batch's own folder and then the version note, so a repeated batch only writes the same again.
+A batch writes its changes under ``changes/<table>/batch=<id>``, overwriting what an earlier try of
+the same batch left there, so its cost does not grow with the graph.  ``read_graph`` merges base and
+changes; ``compact`` writes the merged tables as a new base whenever the changes have piled up.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from loomgraph.operators.graph import StoryGraph
-from loomgraph.plans.ingest import ingest_steps
+from loomgraph.operators.match import prepare_definitions
+from loomgraph.plans.ingest import apply_changes, step_changes
+from loomgraph.session import materialize
+from loomgraph.sources.corpus import path_exists
 
 TABLES = ("stories", "steps", "definitions", "implements", "binds", "depends_on")
-CHANGED = ("steps", "implements", "binds")
+# Column types of the change tables; the batch number is their partition column.
+CHANGES = {
+    "steps": "step_id string, step_type string, text string, ord bigint, batch bigint",
+    "implements": "story_id string, step_id string, batch bigint",
+    "binds": "step_id string, definition_id string, batch bigint",
+}
 
 
-def write_graph(graph: StoryGraph, root: str, version: int, tables=TABLES) -> None:
-    for name in tables:
-        getattr(graph, name).write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+def write_base(graph: StoryGraph, root: str) -> None:
+    for name in TABLES:
+        getattr(graph, name).write.parquet(f"{root}/base/{name}")
 
 
-def read_graph(spark: SparkSession, root: str, version: int) -> StoryGraph:
-    """Changed tables of ``version``, the others of the first one."""
-    return StoryGraph(**{
-        name: spark.read.parquet(f"{root}/v{version if name in CHANGED else 0}/{name}")
-        for name in TABLES})
+def read_base(spark: SparkSession, root: str) -> StoryGraph:
+    return StoryGraph(**{name: spark.read.parquet(f"{root}/base/{name}") for name in TABLES})
+
+
+def read_graph(spark: SparkSession, root: str) -> StoryGraph:
+    """Base tables with all changes merged in, the later batch winning."""
+    base = read_base(spark, root)
+    if not path_exists(spark, f"{root}/changes/steps"):
+        return base
+    changes = {name: spark.read.schema(schema).parquet(f"{root}/changes/{name}")
+               for name, schema in CHANGES.items()}
+    changes["steps"] = changes["steps"].withColumn("when", F.struct("batch", "ord"))
+    return apply_changes(base, changes, "when")
+
+
+def compact(spark: SparkSession, root: str, new_root: str) -> None:
+    """Write the merged graph as the base of a new root; the stream is then started on that."""
+    write_base(read_graph(spark, root), new_root)
 
 
 def start_ingest(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """Batch ``i`` reads version ``i`` and writes version ``i + 1``; version 0 must exist."""
+    """Ingest step lines (story_id, step_id, step_type, text, ord); the base must exist."""
+    # definitions do not change under the stream: vetted once, not once per batch
+    defs = prepare_definitions(read_base(stream.sparkSession, root).definitions)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        graph = ingest_steps(read_graph(spark, root, batch_id), batch)
-        write_graph(graph, root, batch_id + 1, CHANGED)
+        lines = materialize(batch, "line_batch")  # read several times
+        for name, rows in step_changes(lines, defs).items():
+            rows.write.mode("overwrite").parquet(f"{root}/changes/{name}/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def latest_version(query: StreamingQuery) -> int:
-    """Version after the query's last finished batch."""
-    progress = query.lastProgress
-    return 0 if progress is None else int(progress["batchId"]) + 1

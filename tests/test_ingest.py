@@ -6,7 +6,7 @@ from loomgraph.plans.features import feature_report
 from loomgraph.plans.ingest import ingest, ingest_steps
 from loomgraph.schema import BINDS, DEFINITION, DEPENDS_ON, IMPLEMENTS, STEP, STORY
 from loomgraph.operators.graph import StoryGraph
-from loomgraph.streaming.ingest import latest_version, read_graph, start_ingest, write_graph
+from loomgraph.streaming.ingest import compact, read_base, read_graph, start_ingest, write_base
 
 LINES = "story_id string, step_id string, step_type string, text string, ord int"
 
@@ -67,16 +67,23 @@ def test_ingest_steps_keeps_vectors(spark):
 
 def test_stream_ingest_over_batches(spark, tmp_path):
     root = str(tmp_path / "graph")
-    write_graph(empty_graph(spark, [("d", r"is \d+")]), root, 0)
-    for i in range(3):
-        spark.createDataFrame([("st", f"s{i}", "Given", f"is {i}", i), ("st", "s0", "Then", "is 0", i)],
-                              LINES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    write_base(empty_graph(spark, [("d", r"is \d+")]).with_tables(
+        steps=spark.createDataFrame([("s0", "Given", "is 0", [1.0])], STEP)), root)
+    assert read_graph(spark, root).steps.count() == 1
+    lines = LINES.replace("ord int", "ord bigint")
+    for i in range(3):   # the last batch sets the type of s0, though its ord is the lowest
+        spark.createDataFrame(
+            [("st", f"s{i}", "Given", f"is {i}", i), ("st", "s0", ("Given", "When", "Then")[i], "is 0", -i)],
+            lines).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(lines).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = start_ingest(stream, root, str(tmp_path / "ck"))
     query.awaitTermination()
-    graph = read_graph(spark, root, latest_version(query))
-    assert sorted(r.step_id for r in graph.steps.collect()) == ["s0", "s1", "s2"]
-    assert graph.binds.count() == 3 and graph.implements.count() == 3
+    assert len(list((tmp_path / "graph" / "changes" / "steps").glob("batch=*"))) == 3
+    compact(spark, root, str(tmp_path / "next"))
+    for graph in (read_graph(spark, root), read_base(spark, str(tmp_path / "next"))):
+        assert {(r.step_id, r.step_type, tuple(r.embedding or ())) for r in graph.steps.collect()} == {
+            ("s0", "Then", (1.0,)), ("s1", "Given", ()), ("s2", "Given", ())}
+        assert graph.binds.count() == 3 and graph.implements.count() == 3
 
 
 def test_feature_report(spark):

@@ -1,5 +1,7 @@
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -108,13 +110,47 @@ def test_opposite_is_never_chosen(spark):
     assert nn.top_k(q, c).count() == 0
 
 
-@pytest.mark.parametrize("k", [1, 3])
-def test_blocks_do_not_change_the_result(spark, k):
-    vectors = [(i, [float((i * 7) % 11), float((i * 5) % 13), 1.0]) for i in range(60)]
+def brute_force(vectors, k, exclude_self):
+    def cosine(a, b):
+        size = (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / size if len(a) == len(b) and size else 0.0
+    out = set()
+    for i, a in vectors:
+        sims = sorted((-round(cosine(a, b), 9), j) for j, b in vectors if not (exclude_self and i == j))
+        out |= {(i, j, -s, n + 1) for n, (s, j) in enumerate(sims[:k]) if -s > -1.0}
+    return out
+
+
+@pytest.mark.parametrize("k,exclude_self,block_rows", [
+    (1, True, 1000), (1, True, 7), (3, True, 7), (3, False, 5), (2, True, 1), (50, True, 9)])
+def test_top_k_equals_brute_force(spark, k, exclude_self, block_rows):
+    """Three tight clusters, one of them holding most vectors, odd lengths and zero vectors."""
+    vectors = []
+    for i in range(60):
+        axis = 0 if i % 3 else 1 + i % 2
+        vector = [((i * 7 + 3 * d) % 11) / 100 for d in range(4)]
+        vector[axis] += 1.0
+        vectors.append((i, vector))
+    vectors += [(60, [1.0, 1.0]), (61, [1.0, 0.9]), (62, [0.0] * 4), (63, [0.0] * 4), (64, [-1.0, -1.0])]
     q = spark.createDataFrame(vectors, "query_id int, embedding array<double>")
     c = spark.createDataFrame(vectors, "cand_id int, embedding array<double>")
-    whole, cut = (sorted(map(tuple, nn.top_k(q, c, k, block_rows=n).collect())) for n in (1000, 7))
-    assert whole == cut and len(whole) == 60 * k
+    found = nn.top_k(q, c, k, exclude_self, block_rows).collect()
+    assert {(r.query_id, r.cand_id, round(r.similarity, 9), r.rank) for r in found} == brute_force(
+        vectors, k, exclude_self)
+
+
+def test_far_cells_are_not_visited():
+    """Ten separate clusters: a query visits its own."""
+    pivots = pd.Series([np.eye(10)[i] for i in range(10)])
+    visit = nn._visitor(list(range(10)), pivots, np.full(10, 5.0), np.full(10, 0.05), 1, False)
+    near = pd.DataFrame({"query_id": [100], "embedding": [np.eye(10)[3] + 0.01]})
+    assert [list(x) for x in next(visit(iter([near])))["cells"]] == [[3]]
+
+
+def test_no_candidates(spark):
+    q = spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>")
+    c = spark.createDataFrame([], "cand_id string, embedding array<double>")
+    assert nn.top_k(q, c).count() == 0
 
 
 def test_cascade(spark):

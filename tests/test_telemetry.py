@@ -72,6 +72,16 @@ def test_view_plan(spark):
     plan = completions_view(logs, lines, ordered=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 4, plan    # both steps, before and after the shuffle
     assert "Union" not in plan                          # the log is scanned once
+    wide = [p for p in plan.split("\n") if "Exchange hash" in p and "_line" in p]
+    assert len(wide) <= 2, plan                         # content meets the keys; no shuffle after it
+
+
+def test_doubled_file_lines_give_one_row(spark):
+    logs, lines = frames(spark, [log("i", 0, "t", out="g/a_out.jsonl")],
+                         [line("g/a_out.jsonl", None, None, "one", "more"),
+                          line("g/a_out.jsonl", None, None, "two")])
+    rows = [(r.part_idx, r.content) for r in completions_view(logs, lines).collect()]
+    assert rows == [(0, "one"), (1, "more")]
 
 
 def test_completion_files(spark, tmp_path):
