@@ -258,6 +258,15 @@ def phrase_list(spark, sf):
     return m.phrase_lines(load(spark, sf, "v_step"))
 
 
+@query("checklist_text", """
+    SELECT conv_id, turn, concat('- [ ] ', replace(text, chr(10), concat(chr(10), '- [ ] '))) AS checklist
+    FROM {conversations} c""")
+def checklist_text(spark, sf):
+    """The lines of each message as open items."""
+    return load(spark, sf, "conversations").select(
+        "conv_id", "turn", tx.checklist(F.split("text", "\n")).alias("checklist"))
+
+
 @query("widen_expression", r"""
     SELECT definition_id, replace(e, 'is (\d+)', 'is (?:\$)?(\d+)') AS expression,
            replace(c, e, replace(e, 'is (\d+)', 'is (?:\$)?(\d+)')) AS code_block

@@ -190,7 +190,7 @@ def completions_source(spark, sf):
     bad = run(spark, sf, "SELECT concat('{{', '\"role\": ', conv_id) AS value "
                          "FROM {conversations} c WHERE turn = 0")
     lines.unionByName(bad).write.text(path)
-    rows, _ = source.scan_completions(spark, path)
+    rows = source.read_completions(spark, path, max_bad=bad.count())
     return rows.groupBy("role").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.size("parts")).alias("n_parts"),
         F.sum("index").alias("idx_sum"))

@@ -106,3 +106,8 @@ def clamp_score(score: Column) -> Column:
 
 def contains_text(reason: Column, wanted: Column) -> Column:
     return F.coalesce(F.contains(reason, wanted), F.lit(False))
+
+
+def checklist(items: Column) -> Column:
+    """One open check-box line per item of an array."""
+    return F.array_join(F.transform(items, lambda item: F.concat(F.lit("- [ ] "), item)), "\n")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.schema import COMPLETION, LOG
+from loomgraph.session import materialize
 
 MAX_BAD = 1000  # fixed value: bad lines tolerated per read
 _CORRUPT = "_bad_line"
@@ -46,6 +47,15 @@ def scan_completions(spark: SparkSession, path: str) -> tuple[DataFrame, Observa
     return counted.where(F.col(_CORRUPT).isNull()).drop(_CORRUPT), seen
 
 
+def read_completions(spark: SparkSession, path: str, max_bad: int = MAX_BAD) -> DataFrame:
+    """Completion lines as a columnar table: the JSON is parsed once, the bad lines are counted in
+    that same pass, and later reads only touch the columns they need."""
+    rows, seen = scan_completions(spark, path)
+    table = materialize(rows, "completions")
+    enforce_bad_limit(seen, max_bad)
+    return table
+
+
 def enforce_bad_limit(seen: Observation, max_bad: int = MAX_BAD) -> int:
     bad = seen.get["bad"]
     if bad > max_bad:

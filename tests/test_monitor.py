@@ -64,6 +64,18 @@ def test_cap_trips_on_entry_sixteen(spark):
     assert (summary.logged, summary.rejected, summary.tripped) == (16, 4, True)
 
 
+def test_a_hot_run_shrinks_before_the_shuffle(spark):
+    df = spark.range(200_000).selectExpr(
+        "if(id % 3 = 0, id, 0L) AS run_id", "id AS seq", "concat('agent', id % 2) AS agent_name",
+        "cast(id % 97 AS string) AS response", "cast(null AS array<double>) AS story_vec",
+        "cast(null AS array<double>) AS response_vec")
+    trips = mon.first_trips(df)
+    plan = trips._jdf.queryExecution().executedPlan().toString()
+    first = plan.split("Exchange")[-1]      # what runs below the lowest shuffle
+    assert "WindowGroupLimit" in first, plan
+    assert [tuple(r) for r in trips.select("run_id", "trip_seq").collect()] == [(0, 22)]
+
+
 ROWS = st.lists(st.tuples(st.integers(1, 3), st.sampled_from("ab"), st.sampled_from("xyz"),
                           st.sampled_from([None, [1.0, 0.0], [0.0, 1.0]])), max_size=40)
 

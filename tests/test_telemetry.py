@@ -93,8 +93,9 @@ def test_completion_files(spark, tmp_path):
     assert {r.file_uri.rsplit("/", 1)[1] for r in got} == {"one.jsonl", "two.jsonl"}
     assert "x" not in rows.columns and [r.parts[0].content for r in got] == ["a", "a"]
     assert source.enforce_bad_limit(seen) == 1
+    assert source.read_completions(spark, str(tmp_path), max_bad=1).count() == 2
     with pytest.raises(ValueError):
-        source.enforce_bad_limit(seen, max_bad=0)
+        source.read_completions(spark, str(tmp_path), max_bad=0)
 
 
 def test_view_joins_on_the_file_name(spark, tmp_path):
