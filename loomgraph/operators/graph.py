@@ -1,6 +1,7 @@
 """The labelled property graph: views, pattern joins, dependents and the impact map."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -10,7 +11,9 @@ from pyspark.sql import types as T
 
 from loomgraph.functions.text import relation
 from loomgraph.schema import EDGE_KEYS, NODE_KEYS, edge_key, node_key
-from loomgraph.session import shared_path, write_bucketed
+from loomgraph.session import materialize, shared_path, write_bucketed
+
+BUCKET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -86,12 +89,13 @@ def direct_dependents(stories: DataFrame, depends_on: DataFrame, targets: DataFr
 
 
 def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
-               max_depth: int | None = None, through_missing: bool = False) -> DataFrame:
+               max_depth: int | None = None, through_missing: bool = False,
+               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All transitive dependents of every target with their least depth.
 
     Breadth first for all targets at once: one join per level against an edge table that is written
-    once, hash-bucketed on the followed column, so that no level shuffles the edges again.  Each
-    level is written to the shared folder; a (target, story) pair is entered once, so cycles end
+    once.  Beyond ``bucket_rows`` edges it is hash-bucketed on the followed column, so that no level
+    shuffles the edges again.  Each level is written to the shared folder; a (target, story) pair is entered once, so cycles end
     and the target itself is returned when a cycle leads back to it.
 
     ``through_missing``: walk through ids that have no story row (they are never returned);
@@ -102,8 +106,14 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
     if not through_missing:
         edges = edges.join(titles.select("story_id"), "story_id", "left_semi")
     spark = stories.sparkSession
-    edge_name = write_bucketed(edges, "impact_edges", "node")
-    edges = spark.table(edge_name)
+    edges = materialize(edges, "impact_edges")
+    n_edges = edges.count()
+    bucketed = None
+    if n_edges > bucket_rows:
+        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                      math.ceil(n_edges / bucket_rows))
+        bucketed = write_bucketed(edges, "impact_edges", "node", buckets)
+        edges = spark.table(bucketed)
 
     frontier = targets.select(F.col("story_id").alias("target"),
                               F.col("story_id").alias("node")).dropDuplicates()
@@ -122,7 +132,8 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
         frontier = spark.read.schema(schema).parquet(level)
         if frontier.isEmpty():
             break
-    spark.sql(f"DROP TABLE {edge_name}")  # every level is a written table of its own
+    if bucketed:
+        spark.sql(f"DROP TABLE {bucketed}")  # every level is a written table of its own
     if depth:
         leveled = T.StructType(schema.fields + [T.StructField("depth", T.IntegerType())])
         found = spark.read.schema(leveled).parquet(root)

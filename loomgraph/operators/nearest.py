@@ -86,6 +86,23 @@ def _visitor(pivot_ids: list, pivots: pd.Series, sizes: np.ndarray, radii: np.nd
     return visit
 
 
+def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k highest values per row; equal values: the first column."""
+    if k == 1:
+        return np.arange(len(sims)), sims.argmax(axis=1)
+    k = min(k, sims.shape[1])
+    out = []
+    for start in range(0, len(sims), 256):  # a row of nothing but ties stays affordable
+        part = sims[start:start + 256]
+        least = np.partition(part, -k, axis=1)[:, -k]
+        rows, cols = np.nonzero(part >= least[:, None])
+        order = np.lexsort((cols, -part[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        out.append((rows[place < k] + start, cols[place < k]))
+    return np.concatenate([r for r, _ in out]), np.concatenate([c for _, c in out])
+
+
 def _kernel(k: int, exclude_self: bool):
     def best_of_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -95,11 +112,7 @@ def _kernel(k: int, exclude_self: bool):
         sims = _scores(left["embedding"], right["embedding"])
         if exclude_self:
             sims[left["query_id"].to_numpy()[:, None] == cand[None, :]] = -1.0
-        # both ways the first of equal similarities, i.e. the lowest cand_id, comes first
-        best = (sims.argmax(axis=1)[:, None] if k == 1
-                else np.argsort(-sims, axis=1, kind="stable")[:, :k])
-        rows = np.repeat(np.arange(len(left)), best.shape[1])
-        cols = best.ravel()
+        rows, cols = _best(sims, k)
         keep = sims[rows, cols] > -1.0
         rows, cols = rows[keep], cols[keep]
         return pd.DataFrame({"query_id": left["query_id"].to_numpy()[rows],

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_local_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "loomgraph", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,19 +32,24 @@ def tune(spark: SparkSession) -> SparkSession:
     # split a hot join key even where that costs one more exchange downstream
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # on one machine the cluster default of 200 only makes for tiny tasks (and state stores)
+    if spark.sparkContext.master.startswith("local") and (
+            spark.conf.get("spark.sql.shuffle.partitions") == "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for local runs that set none."""
+    """The cluster's checkpoint folder; a temporary one only for local runs that name none."""
     root = spark.conf.get(_CONF, None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="loomgraph-")
-    spark.conf.set(_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="loomgraph-")
+    return _local_roots[app]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -68,14 +74,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def write_bucketed(df: DataFrame, label: str, key: str) -> str:
+def write_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> str:
     """Write ``df`` hash-bucketed on ``key`` and return the table name.
 
     Every later join of that table on ``key`` skips the table's shuffle.
     """
     spark = df.sparkSession
     table = f"{label}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one task per bucket writes one file per bucket
     (df.repartition(buckets, key).write.bucketBy(buckets, key)
        .option("path", shared_path(spark, label)).format("parquet").saveAsTable(table))

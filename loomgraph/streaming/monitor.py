@@ -36,8 +36,9 @@ class Breaker(StatefulProcessor):
 
     def _violation(self, row: Row, calls: int, said: dict[str, list[str]]) -> str | None:
         if row.agent_name not in said:
-            stored = self._said.getValue((row.agent_name,))
-            said[row.agent_name] = list(stored[0]) if stored else []
+            agent = (row.agent_name,)
+            said[row.agent_name] = (list(self._said.getValue(agent)[0])
+                                    if self._said.containsKey(agent) else [])
         last = said[row.agent_name] = [*said[row.agent_name], row.response][-self.loop_limit:]
         if calls > self.max_calls:
             return CALLS_REASON % self.max_calls

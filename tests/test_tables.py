@@ -91,6 +91,14 @@ def test_chain_depths_and_text(spark):
     assert text == {1: "- [Direct] dep1 (title dep1)", 2: "- [Indirect (Depth 2)] dep2 (title dep2)"}
 
 
+def test_bucketed_edges_give_the_same_map(spark):
+    tree = edges(spark, [(str(i), str(i // 2)) for i in range(1, 60)])
+    known = stories(spark, [str(i) for i in range(60)])
+    plain, bucketed = (reached(impact_map(known, tree, targets(spark, "0", "1", "3"), bucket_rows=n))
+                       for n in (1000, 20))
+    assert plain == bucketed and plain["1", "59"] == 5
+
+
 def test_cycle_returns_root_and_cap_stops(spark):
     ring = edges(spark, [("b", "a"), ("c", "b"), ("a", "c")])
     assert reached(impact_map(stories(spark, "abc"), ring, targets(spark, "a"))) == {
