@@ -68,9 +68,16 @@ def load_summary(spark, sf):
     return story_graph(spark, sf).load_summary()
 
 
-@query("scan_stories", "SELECT * FROM {v_story} s")
+@query("scan_stories", """
+    SELECT story_id, title, description, verified_spec, len(embedding) AS dims,
+           round(list_sum(embedding), 6) AS vector_sum FROM {v_story} s""")
 def scan_stories(spark, sf):
-    return story_graph(spark, sf).node_table("UserStory")
+    """All columns of a node table; the vector is shown as its length and sum."""
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint")
+    return story_graph(spark, sf).node_table("UserStory").select(
+        "story_id", "title", "description", "verified_spec", size.alias("dims"),
+        F.round(total, 6).alias("vector_sum"))
 
 
 @query("scan_steps", "SELECT step_id, step_type, text FROM {v_vec_step} s")
@@ -214,6 +221,7 @@ def update_spec(spark, sf):
            coalesce(u.verified_spec, s.verified_spec) AS verified_spec
     FROM {{v_story}} s FULL JOIN ({_SPECS}) u ON u.story_id = s.story_id""")
 def update_spec_stub(spark, sf):
+    """The form that inserts a stub row for an unknown story."""
     stories = load(spark, sf, "v_story").select("story_id", "title", "verified_spec")
     return t.update_spec(stories, run(spark, sf, _SPECS), insert_missing=True)
 

@@ -119,14 +119,14 @@ class MetricRegistry:
         return self
 
     def run(self, instances: DataFrame) -> DataFrame:
-        """(case_id, metric, score); all Column metrics come from one pass."""
+        """(case_id, metric, score); one pass for the Columns, one for the functions."""
         out = []
         if self._columns:
             rows = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("score"))
                              for n, c in self._columns.items()])
             out.append(instances.select("case_id", F.inline(rows)))
-        for name, score in self._python.items():
-            out.append(instances.mapInPandas(_python_metric(name, score),
+        if self._python:
+            out.append(instances.mapInPandas(_python_metrics(dict(self._python)),
                                              _metric_schema(instances)))
         if not out:
             raise ValueError("no metrics registered")
@@ -138,13 +138,14 @@ def _metric_schema(instances: DataFrame) -> str:
     return f"case_id {key}, metric string, score double"
 
 
-def _python_metric(name: str, score: Callable):
+def _python_metrics(scores: dict[str, Callable]):
     def run(batches):
         for pdf in batches:
-            out = pdf[["case_id"]].copy()
-            out["metric"] = name
-            out["score"] = [float(s) for s in score(pdf)]
-            yield out
+            for name, score in scores.items():
+                out = pdf[["case_id"]].copy()
+                out["metric"] = name
+                out["score"] = [float(s) for s in score(pdf)]
+                yield out
     return run
 
 

@@ -59,8 +59,15 @@ def upsert_edges(edges: DataFrame, batch: DataFrame, label: str) -> DataFrame:
     return edges.select(*pair).unionByName(batch.select(*pair)).dropDuplicates(pair)
 
 
-def update_spec(stories: DataFrame, updates: DataFrame, insert_missing: bool = False) -> DataFrame:
-    """Set ``verified_spec`` by story; an unknown story is ignored, or inserted as a stub row."""
+def update_spec(stories: DataFrame, updates: DataFrame, insert_missing: bool = False,
+                order_col: str | None = None) -> DataFrame:
+    """Set ``verified_spec`` by story; an unknown story is ignored, or inserted as a stub row.
+
+    ``order_col`` says which of several updates of one story is the last; without it each story
+    must come once.
+    """
+    if order_col:
+        updates = latest(updates.select("story_id", "verified_spec", order_col), ["story_id"], [order_col])
     fresh = updates.select("story_id", F.col("verified_spec").alias("_spec"),
                            F.lit(True).alias("_hit"))
     joined = stories.join(fresh, "story_id", "full_outer" if insert_missing else "left")
@@ -102,25 +109,28 @@ def prune_orphans(defs: DataFrame, binds: DataFrame,
 
 def integrity_report(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> DataFrame:
     """One row per constraint: (check, table, n violations)."""
-    def row(rule: str, table: str, bad: DataFrame) -> DataFrame:
-        return bad.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(rule).alias("check"), F.lit(table).alias("table"), "n")
-
-    def key_rows(table: str, df: DataFrame, keys: list[str]) -> list[DataFrame]:
+    def as_rows(counts: DataFrame, table: str) -> DataFrame:
+        """One row of counts to one row per rule."""
+        return counts.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("check"), F.lit(table).alias("table"),
+                     F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("n"))
+            for c in counts.columns])))
+
+    def key_rows(table: str, df: DataFrame, keys: list[str]) -> DataFrame:
         missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-        doubled = df.where(~missing).groupBy(*keys).count().where("count > 1")
-        return [row("null_key", table, df.where(missing)), row("duplicate_key", table, doubled)]
+        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+        return as_rows(groups.agg(
+            F.sum(F.when(missing, F.col("_c"))).alias("null_key"),
+            F.count_if(~missing & (F.col("_c") > 1)).alias("duplicate_key")), table)
 
     out = []
     for label, df in nodes.items():
-        out += key_rows(label, df, [NODE_KEYS[label]])
+        out.append(key_rows(label, df, [NODE_KEYS[label]]))
     for label, df in edges.items():
-        out += key_rows(label, df, list(edge_key(label)))
+        out.append(key_rows(label, df, list(edge_key(label))))
         for col, node in EDGE_REFS[label]:
             refs = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
             known = nodes[node].select(F.col(NODE_KEYS[node]).alias(col))
-            dangling = refs.join(known, col, "left_anti").agg(
-                F.coalesce(F.sum("_c"), F.lit(0)).cast("bigint").alias("n"))
-            out.append(dangling.select(F.lit(f"dangling_{col}").alias("check"),
-                                       F.lit(label).alias("table"), "n"))
+            dangling = refs.join(known, col, "left_anti").agg(F.sum("_c").alias(f"dangling_{col}"))
+            out.append(as_rows(dangling, label))
     return reduce(DataFrame.unionByName, out)

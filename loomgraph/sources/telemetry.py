@@ -13,9 +13,16 @@ _CORRUPT = "_bad_line"
 
 
 def read_logs(spark: SparkSession, path: str, since: str | None = None,
-              until: str | None = None) -> DataFrame:
-    """Log rows; ``since``/``until`` (days) prune partitions.  Added columns are merged in."""
-    logs = spark.read.option("mergeSchema", "true").parquet(path)
+              until: str | None = None, merge_schema: bool = True) -> DataFrame:
+    """Log rows; ``since``/``until`` (days) prune partitions.
+
+    ``merge_schema`` finds columns added later by reading every file's footer; without it only the
+    declared columns are read.
+    """
+    if not merge_schema:
+        logs = spark.read.schema(f"{LOG}, dt date").parquet(path)
+    else:
+        logs = spark.read.option("mergeSchema", "true").parquet(path)
     if since:
         logs = logs.where(F.col("dt") >= F.lit(since).cast("date"))
     if until:

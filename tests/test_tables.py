@@ -59,6 +59,27 @@ def test_prune_returns_the_orphan(spark):
         assert [r.definition_id for r in kept.collect()] == ["bound_def"]
 
 
+def test_update_spec(spark):
+    known = stories(spark, "ab").select("story_id", "title", "verified_spec")
+    updates = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("z", "stub", 1)],
+                                    "story_id string, verified_spec string, seq int")
+    done = t.update_spec(known, updates, order_col="seq")
+    assert {tuple(r) for r in done.collect()} == {("a", "title a", "new"), ("b", "title b", None)}
+    stubs = t.update_spec(known, updates, insert_missing=True, order_col="seq")
+    assert ("z", None, "stub") in {tuple(r) for r in stubs.collect()}
+
+
+def test_integrity_report(spark):
+    nodes = {"UserStory": stories(spark, ["a", "a", "b", None])}
+    rows = {"DEPENDS_ON": edges(spark, [("a", "b"), ("a", "b"), ("x", "a"), ("x", "y"), (None, "b")])}
+    found = {(r["check"], r["table"]): r["n"] for r in t.integrity_report(nodes, rows).collect()}
+    assert found == {
+        ("null_key", "UserStory"): 1, ("duplicate_key", "UserStory"): 1,
+        ("null_key", "DEPENDS_ON"): 1, ("duplicate_key", "DEPENDS_ON"): 1,
+        ("dangling_story_id", "DEPENDS_ON"): 2, ("dangling_depends_on_story_id", "DEPENDS_ON"): 1}
+    assert {r["n"] for r in t.integrity_report({"UserStory": stories(spark, [])}, {}).collect()} == {0}
+
+
 def test_not_in_nulls(spark):
     df = spark.createDataFrame([("a",), (None,)], "k string")
     none = spark.createDataFrame([], "k string")

@@ -114,7 +114,9 @@ def test_log_table_days(spark, tmp_path):
     source.write_logs(grown, path)
     assert {r.insertId for r in source.read_logs(spark, path).collect()} == {"a", "b", "c"}
     assert "fresh" in source.read_logs(spark, path).columns
-    assert {r.insertId for r in source.read_logs(spark, path, since="2023-11-15").collect()} == {"b", "c"}
+    for merge in (True, False):
+        days = source.read_logs(spark, path, since="2023-11-15", merge_schema=merge)
+        assert {r.insertId for r in days.collect()} == {"b", "c"}
 
 
 def test_routing(spark):
