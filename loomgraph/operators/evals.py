@@ -184,6 +184,7 @@ def failure_report(rollup: DataFrame, runs: DataFrame) -> DataFrame:
 
     The compiler output section is empty, as a failed run keeps no log.
     """
+    # The section headings of the report.
     text = F.concat(F.lit("USER STORY:\n"), F.col("story"), F.lit("\n\nDAFNY CODE:\n"),
                     F.col("spec"), F.lit("\n\nCOMPILER OUTPUT:\n\n"))
     return (rollup.where(~F.col("verified")).join(runs, "run_id")

@@ -95,7 +95,8 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
 
     Breadth first for all targets at once: one join per level against an edge table that is written
     once.  Beyond ``bucket_rows`` edges it is hash-bucketed on the followed column, so that no level
-    shuffles the edges again.  Each level is written to the shared folder; a (target, story) pair is entered once, so cycles end
+    shuffles the edges again, and nodes with very many dependents are spread over several buckets.
+    Each level is written to the shared folder; a (target, story) pair is entered once, so cycles end
     and the target itself is returned when a cycle leads back to it.
 
     ``through_missing``: walk through ids that have no story row (they are never returned);
@@ -108,12 +109,22 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
     spark = stories.sparkSession
     edges = materialize(edges, "impact_edges")
     n_edges = edges.count()
-    bucketed = None
+    bucketed = heavy = None
+    keys = ["node"]
     if n_edges > bucket_rows:
+        # a node with very many dependents is cut into slices, each about one bucket's worth
+        heavy = materialize(
+            edges.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("slices"))
+            .where("slices > 1"), "impact_heavy")
+        if heavy.isEmpty():
+            heavy = None
+        else:
+            keys = ["node", "slice"]
+            cut = F.pmod(F.xxhash64("story_id"), F.coalesce("slices", F.lit(1))).cast("int")
+            sliced = edges.join(heavy, "node", "left").withColumn("slice", cut).drop("slices")
         buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
                       math.ceil(n_edges / bucket_rows))
-        bucketed = write_bucketed(edges, "impact_edges", "node", buckets)
-        edges = spark.table(bucketed)
+        bucketed = write_bucketed(edges if heavy is None else sliced, "impact_edges", keys, buckets)
 
     frontier = targets.select(F.col("story_id").alias("target"),
                               F.col("story_id").alias("node")).dropDuplicates()
@@ -121,8 +132,15 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
     root = shared_path(spark, "impact_levels")
     depth = 0
     while max_depth is None or depth < max_depth:
-        reached = (frontier.join(edges, "node").select("target", F.col("story_id").alias("node"))
-                   .dropDuplicates())
+        # many targets on one node: a plain join, whose two shuffled sides Spark can split by itself
+        if bucketed is None or _largest_group(frontier, "node") > bucket_rows:
+            step = frontier.join(edges, "node")
+        else:
+            if heavy is not None:
+                every = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+                frontier = frontier.join(heavy, "node", "left").withColumn("slice", F.explode(every))
+            step = frontier.join(spark.table(bucketed), keys)
+        reached = step.select("target", F.col("story_id").alias("node")).dropDuplicates()
         if depth:
             seen = spark.read.schema(schema).parquet(root)
             reached = reached.join(seen, ["target", "node"], "left_anti")
@@ -143,6 +161,11 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
             .select("target", "story_id", "title", "depth", relation(F.col("depth")).alias("relation")))
 
 
+def _largest_group(df: DataFrame, key: str) -> int:
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def impact_summary(impact: DataFrame) -> DataFrame:
     """Dependents per target: how many, how many direct ones, and how deep."""
     return impact.groupBy("target").agg(

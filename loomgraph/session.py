@@ -74,14 +74,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def write_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> str:
-    """Write ``df`` hash-bucketed on ``key`` and return the table name.
+def write_bucketed(df: DataFrame, label: str, keys: list[str], buckets: int) -> str:
+    """Write ``df`` hash-bucketed on ``keys`` and return the table name.
 
-    Every later join of that table on ``key`` skips the table's shuffle.
+    Every later join of that table on ``keys`` skips the table's shuffle.
     """
     spark = df.sparkSession
     table = f"{label}_{uuid.uuid4().hex}"
     # one task per bucket writes one file per bucket
-    (df.repartition(buckets, key).write.bucketBy(buckets, key)
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
        .option("path", shared_path(spark, label)).format("parquet").saveAsTable(table))
     return table
