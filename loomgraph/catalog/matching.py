@@ -324,13 +324,19 @@ def vector_roundtrip(spark, sf):
                           F.round(total, 6).alias("total"))
 
 
-@query("embed_udf")
+def _tally(letter: str) -> str:
+    return f"CAST(length(text) - length(replace(text, '{letter}', '')) AS DOUBLE) AS n_{letter}"
+
+
+@query("embed_udf", "SELECT doc_id, " + ", ".join(_tally(c) for c in "aeiou") + " FROM {documents} d")
 def embed_udf(spark, sf):
-    """A user function as the embedding stage."""
-    def shares(texts: list[str]) -> list[list[float]]:
-        return [[t.count(c) / max(1, len(t)) for c in "aeiou"] for t in texts]
+    """A user function as the embedding stage: how often each vowel comes."""
+    def tally(texts: list[str]) -> list[list[float]]:
+        return [[t.count(c) for c in "aeiou"] for t in texts]
     docs = spread(load(spark, sf, "documents")).select("doc_id", "text")
-    return embed(docs, "text", shares).select("doc_id", "embedding")
+    vectors = embed(docs, "text", tally)
+    return vectors.select("doc_id", *[F.get("embedding", F.lit(i)).alias(f"n_{c}")
+                                      for i, c in enumerate("aeiou")])
 
 
 @query("embed_hashing", """
