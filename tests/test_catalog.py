@@ -5,10 +5,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from loomgraph import catalog
 from loomgraph.catalog.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +35,8 @@ def rows(data, columns):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLES) <= set(spark_entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
