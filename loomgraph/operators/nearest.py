@@ -22,8 +22,9 @@ BLOCK_ROWS = 4096
 MAX_PIVOTS = 256
 # similarities are compared at this many digits, so that equal vectors tie in every block
 DIGITS = 12
-# radians by which a bound on angles is widened, far above the rounding of arccos
-SLACK = 1e-6
+# radians by which a bound on angles is widened: rounding a cosine to DIGITS moves an angle near 0 by
+# up to 1.5e-6, and three such angles meet in one comparison
+SLACK = 1e-5
 
 
 def _unit(vectors: list[np.ndarray]) -> np.ndarray:
@@ -124,15 +125,21 @@ def _per_cell(values: list[int]) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values or [0]]), F.col("cell"))
 
 
+def _usable(vector: str = "embedding") -> Column:
+    """The vector has elements, all of them finite numbers."""
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return (F.size(vector) > 0) & ~bad
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: bool = True,
           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, cand_id, similarity, rank) of the k best candidates per query.
 
-    ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector are
-    skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
+    ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector, or
+    with a null, NaN or infinite element in it, are skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
     """
-    q = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
-    c = materialize(candidates.select("cand_id", "embedding").where(F.size("embedding") > 0),
+    q = queries.select("query_id", "embedding").where(_usable())
+    c = materialize(candidates.select("cand_id", "embedding").where(_usable()),
                     "candidates")
     id_type = {f.name: f.dataType.simpleString() for f in q.schema.fields + c.schema.fields}
     q_cols = f"query_id {id_type['query_id']}, embedding array<double>"
@@ -142,7 +149,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: b
     pivots = c.orderBy(F.xxhash64("cand_id")).limit(n_pivots).toPandas()  # at most MAX_PIVOTS rows
     n_pivots = len(pivots)
     vectors = pivots["embedding"]
-    placed = c.mapInPandas(_placer(vectors), f"{c_cols}, cell int, angle double")
+    # written once, as it is summed up and then shuffled
+    placed = materialize(c.mapInPandas(_placer(vectors), f"{c_cols}, cell int, angle double"),
+                         "placed")
     sizes, radii = np.zeros(n_pivots), np.zeros(n_pivots)
     for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
         sizes[row.cell], radii[row.cell] = row.n, row.r

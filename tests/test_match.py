@@ -162,3 +162,14 @@ def test_cascade(spark):
     found = m.resolve_steps(steps, steps, binds, defs(spark, [r"account balance is \d+"]))
     assert {r.step_id: (r.action, r.definition_id) for r in found.collect()} == {
         "s1": ("REUSE", "d00"), "s2": ("EXPAND", "d00"), "s3": ("GENERATE", None), "s4": ("GENERATE", None)}
+
+
+def test_unusable_vectors_hide_no_neighbour(spark):
+    nan, inf = float("nan"), float("inf")
+    candidates = spark.createDataFrame(
+        [("a", [0.9, 0.1]), ("b", [0.5, 0.5]), ("c", [nan, 1.0]), ("d", [None, 1.0]),
+         ("e", [inf, 1.0]), ("f", []), ("g", None)], "cand_id string, embedding array<double>")
+    queries = spark.createDataFrame([("q", [1.0, 0.0]), ("bad", [nan, 0.0])],
+                                    "query_id string, embedding array<double>")
+    got = nn.top_k(queries, candidates, k=2, block_rows=1).collect()
+    assert sorted((r.query_id, r["rank"], r.cand_id) for r in got) == [("q", 1, "a"), ("q", 2, "b")]
