@@ -64,10 +64,15 @@ def update_spec(stories: DataFrame, updates: DataFrame, insert_missing: bool = F
     """Set ``verified_spec`` by story; an unknown story is ignored, or inserted as a stub row.
 
     ``order_col`` says which of several updates of one story is the last; without it each story
-    must come once.
+    must come once, and a second update of a story fails the job.
     """
     if order_col:
         updates = latest(updates.select("story_id", "verified_spec", order_col), ["story_id"], [order_col])
+    else:
+        several = F.raise_error(F.lit("several updates of one story need an order_col"))
+        updates = updates.groupBy("story_id").agg(
+            F.when(F.count(F.lit(1)) > 1, several.cast("string"))
+            .otherwise(F.first("verified_spec")).alias("verified_spec"))
     fresh = updates.select("story_id", F.col("verified_spec").alias("_spec"),
                            F.lit(True).alias("_hit"))
     joined = stories.join(fresh, "story_id", "full_outer" if insert_missing else "left")
