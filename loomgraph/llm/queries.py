@@ -3,9 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.decontamination import decontaminate
 from loomgraph.llm.exact_dedup import exact_duplicates
+from loomgraph.llm.jaccard_join import jaccard_components
+from loomgraph.llm.language_id import held_out, identify
+from loomgraph.llm.piece_codec import digests
 from loomgraph.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +44,59 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal texts of all documents; the largest identifier stays."""
     return exact_duplicates(read(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = read(spark, sf_dir, "documents")
+    out = held_out(5, 0)
+    return (identify(docs.select("doc_id", "text"), docs.where(~out).select("text", "lang"))
+            .select("doc_id", out.alias("held_out"), "lang_pred", "score"))
+
+
+#: Words and windows of the decontamination contract.
+_HIT_WORDS = r"""
+    d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM {documents}),
+    i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, list_slice(w, pos, pos + 12) AS words, least(len(w), 13) AS n
+                FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(pos) WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    places AS (SELECT doc_id, pos, n, list_slice(w, pos, pos + n - 1) AS words
+               FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(pos) WHERE len(w) >= n),
+    found AS (SELECT p.doc_id, p.pos, p.n, v.item_id FROM places p JOIN windows v USING (words)),
+    hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+            FROM (SELECT DISTINCT doc_id, pos, n FROM found), unnest(range(pos, pos + n)) AS t(q)
+            GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                     sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS s
+              FROM found GROUP BY doc_id),
+    judged AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+                      coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256,
+                      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+               FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id))"""
+
+
+@query("op4_decontamination",
+       "WITH" + _HIT_WORDS.replace("{documents}", "documents") + " SELECT * FROM judged")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 13 words found in the documents."""
+    return decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                         read(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by five-word shingles at a similarity of 0.75."""
+    return jaccard_components(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@query("op8_piece_codec")
+def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text and the text they decode to, as digests."""
+    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
