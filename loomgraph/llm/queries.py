@@ -6,10 +6,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import quality_rules, token_store
 from loomgraph.llm.decontamination import decontaminate
 from loomgraph.llm.exact_dedup import exact_duplicates
 from loomgraph.llm.jaccard_join import jaccard_components
 from loomgraph.llm.language_id import held_out, identify
+from loomgraph.llm.license_rules import scan_licenses
 from loomgraph.llm.piece_codec import digests
 from loomgraph.session import tune
 
@@ -100,3 +102,26 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op1_quality_rules")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, by rules learnt from labels that are not held out."""
+    docs, out = read(spark, sf_dir, "documents"), held_out(3, 1)
+    model = quality_rules.train(docs, read(spark, sf_dir, "labels").where(~out))
+    return quality_rules.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_token_store")
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids written as compressed blocks and read back."""
+    docs = read(spark, sf_dir, "documents")
+    return token_store.ids_crc32(token_store.round_trip(
+        docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+@query("op10_license_rules")
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in the documents."""
+    return scan_licenses(read(spark, sf_dir, "documents"))
