@@ -6,13 +6,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import quality_rules, token_store
+from loomgraph.llm import bloom_lm, quality_rules, token_store
 from loomgraph.llm.decontamination import decontaminate
 from loomgraph.llm.exact_dedup import exact_duplicates
 from loomgraph.llm.jaccard_join import jaccard_components
 from loomgraph.llm.language_id import held_out, identify
 from loomgraph.llm.license_rules import scan_licenses
 from loomgraph.llm.piece_codec import digests
+from loomgraph.llm.suffix_dedup import mark_repeats
 from loomgraph.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +126,17 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in the documents."""
     return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query("op2_bloom_lm")
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learnt from those that are not held out."""
+    docs, out = read(spark, sf_dir, "documents"), held_out(5, 1)
+    return bloom_lm.score(docs, docs.where(~out)).select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur more than once."""
+    return mark_repeats(read(spark, sf_dir, "documents"))
