@@ -77,12 +77,15 @@ def probes(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def phrase_index(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """The stored postings (key, term, position, base, context) of the given terms."""
+    """The stored postings (key, term, position, base, context) of the given (term, leads).
+
+    Only postings of a term that leads, being the rarest of a window, carry their context.
+    """
     postings = (_blocks(docs, window)
                 .select("key", "block", "base", "context", F.posexplode("inner").alias("at", "term"))
-                .join(terms, "term", "left_semi")
-                .select("key", "term", (F.col("block") + F.col("at")).alias("position"),
-                        "base", "context"))
+                .join(terms, "term")
+                .select("key", "term", (F.col("block") + F.col("at")).alias("position"), "base",
+                        F.when(F.col("leads"), F.col("context")).alias("context")))
     return materialize(postings, "postings")
 
 
@@ -93,21 +96,28 @@ def find_windows(docs: DataFrame, windows: DataFrame, window: int, slop: int = 0
     stand within ``slop`` words of where the phrase has them is returned too, as ``proximity``.
     """
     probed = materialize(probes(docs, windows), "probes")
-    index = phrase_index(docs, probed.select("term").distinct(), window)
-    shifted = index.join(probed, "term").withColumn("start", F.col("position") - F.col("offset"))
+    terms = probed.groupBy("term").agg((F.min("rank") == 0).alias("leads"))
+    index = phrase_index(docs, terms, window)
+    shifted = (index.select("key", "term", "position").join(probed.drop("words"), "term")
+               .withColumn("start", F.col("position") - F.col("offset")))
     same, width = ["key", "window_id"], slop + 1
     found = (shifted.where((F.col("rank") == 0) & ((F.col("start") >= 0) | (F.lit(slop) > 0)))
-             .select(*same, "start", "words", "base", "context").distinct())
+             .select(*same, "start").distinct())
     for rank in range(1, PROBES):
         has = probed.where(F.col("rank") == rank).select("window_id", F.lit(True).alias("probed"))
         nxt = shifted.where(F.col("rank") == rank).select(*same, F.col("start").alias("other"))
         bins = [F.floor(F.col("other") / width) + i for i in ((0,) if slop == 0 else (-1, 0, 1))]
         nxt = nxt.select(*same, "other", F.explode(F.array(*bins)).alias("bin")).distinct()
-        found = found.join(has, "window_id", "left")
-        near = (found.withColumn("bin", F.floor(F.col("start") / width))
+        near = (found.join(has, "window_id", "left")
+                .withColumn("bin", F.floor(F.col("start") / width))
                 .join(nxt, [*same, "bin"], "left")
                 .where(F.col("probed").isNull() | (F.abs(F.col("start") - F.col("other")) <= slop)))
-        found = near.select(*same, "start", "words", "base", "context").distinct()
+        found = near.select(*same, "start").distinct()
+    # the words around the leading term decide
+    leads = probed.where("rank = 0").select("window_id", "words", "term", "offset")
+    found = (found.join(leads, "window_id")
+             .withColumn("position", F.col("start") + F.col("offset"))
+             .join(index.where("context is not null"), ["key", "term", "position"]))
     length = F.size("words")
     exact = (F.col("start") >= F.col("base")) & (
         F.slice("context", F.greatest(F.col("start") - F.col("base"), F.lit(0)) + 1, length)
