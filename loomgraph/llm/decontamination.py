@@ -32,8 +32,8 @@ def words_of(text: Column) -> Column:
 
 def _key() -> Column:
     """Rows of equal identifier and text get equal results, so they share a key."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"),
-                          F.coalesce("text", F.lit(""))).cast("binary"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"),
+                                  F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
@@ -44,7 +44,7 @@ def benchmark_windows(items: DataFrame, window: int) -> DataFrame:
            .withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(
                F.size("all") - (window - 1), F.lit(1)))))
            .select("item_id", F.slice("all", F.col("at"), window).alias("words")).distinct())
-    return cut.withColumn("window_id", F.md5(F.concat_ws(" ", "words").cast("binary")))
+    return cut.withColumn("window_id", F.unhex(F.md5(F.concat_ws(" ", "words").cast("binary"))))
 
 
 def _blocks(docs: DataFrame, window: int) -> DataFrame:
