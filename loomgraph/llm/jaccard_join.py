@@ -1,6 +1,8 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-Documents of equal shingle sets are one class from the start.  For the product only the head of a
+Documents of equal shingle sets are one class from the start, named by the digest of the set.  Whole
+sets are larger than their texts, so they are never stored for all documents: each pass makes them from
+the texts again, and only sets that a candidate pair needs are written.  For the product only the head of a
 class's set is needed: in any common order of the shingles, two sets that are similar enough share
 one of their first ``n - ceil(t * n) + 1``.  The order puts shingles of rarely filled counters first
 (a count table of fixed size), so the common passages are at the tails.
@@ -28,7 +30,7 @@ COUNTERS = 1 << 17
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(row, doc_id, n_shingles, signature, shingles): sorted distinct hashes, from whole texts."""
+    """(doc_id, n_shingles, class_id, shingles): sorted distinct hashes, from whole texts."""
     def run(batches):
         for batch in batches:
             sets, counts, marks = [], [], []
@@ -52,15 +54,15 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(marks, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "signature", "shingles"])
+                ["doc_id", "n_shingles", "class_id", "shingles"])
 
-    rows = docs.select("doc_id", F.col("text"))
+    rows = docs.select("doc_id", "text")
     key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {key}, n_shingles long, signature binary, shingles array<long>")
+    return rows.mapInArrow(run, f"doc_id {key}, n_shingles long, class_id binary, shingles array<long>")
 
 
-def heads(classes: DataFrame, percent: int) -> DataFrame:
-    """(shingle, class_id, n, at): the heads of the classes' sets, rare shingles first."""
+def heads(sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, class_id, n, at): the heads of the classes' sets, rare shingles first, once a class."""
     def count(batches):
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -69,35 +71,35 @@ def heads(classes: DataFrame, percent: int) -> DataFrame:
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["slot", "n"])
 
-    counts = (classes.select("shingles").mapInArrow(count, "slot long, n long")
+    counts = (sets.select("shingles").mapInArrow(count, "slot long, n long")
               .groupBy("slot").agg(F.sum("n").alias("n"))).toArrow()  # at most COUNTERS rows
     table = np.zeros(COUNTERS, np.int64)
     table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    shared = classes.sparkSession.sparkContext.broadcast(table)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
 
     def cut(batches):
         table = shared.value
         for batch in batches:
-            sets = batch["shingles"]
-            flat = sets.flatten().to_numpy(zero_copy_only=False)
+            flat = batch["shingles"].flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(batch["n"].to_numpy())])
             often = table[(flat.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)]
             out, where, size, at = [], [], [], []
-            for i, class_id in enumerate(batch["class_id"].to_numpy()):
+            for i in range(batch.num_rows):
                 low, n = ends[i], int(ends[i + 1] - ends[i])
                 order = np.argsort(often[low:low + n], kind="stable")  # equal counts: by hash
                 head = order[:n + (-percent * n) // 100 + 1]
                 out.append(flat[low:low + n][head])
-                where.append(np.full(len(head), class_id))
+                where.append(np.full(len(head), i))
                 size.append(np.full(len(head), n))
                 at.append(np.arange(len(head)))
             if out:
+                out, where, size, at = (np.concatenate(x).astype(np.int64) for x in (out, where, size, at))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(np.int64)) for x in (out, where, size, at)],
+                    [pa.array(out), batch["class_id"].take(pa.array(where)), pa.array(size), pa.array(at)],
                     ["shingle", "class_id", "n", "at"])
 
-    return (classes.select("class_id", F.col("n_shingles").alias("n"), "shingles")
-            .mapInArrow(cut, "shingle long, class_id long, n long, at long"))
+    return (sets.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("n"), "shingles")
+            .mapInArrow(cut, "shingle long, class_id binary, n long, at long").distinct())
 
 
 def _required(n: Column, m: Column, percent: int) -> Column:
@@ -105,10 +107,15 @@ def _required(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs whose sets are similar enough."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    sets = materialize(classes.join(used, "class_id", "left_semi").select("class_id", "shingles"), "sets")
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame:
+    """Those of the (a, b) pairs whose sets are similar enough; one document a class gives its set."""
+    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "used")
+    named = (members.join(used, "class_id", "left_semi").groupBy("class_id")
+             .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    d, k = docs.select("doc_id", "text").alias("d"), named.alias("k")
+    texts = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    sets = materialize(shingle_sets(texts, size).join(used, "class_id", "left_semi")
+                       .groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
     left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
@@ -118,31 +125,24 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """(row, doc_id, n_shingles, component_id, class_id) per document.
+    """(doc_id, n_shingles, component_id, class_id) per document.
 
     ``component_id`` is the smallest identifier reachable over links of at least ``percent``
     similarity of the ``size``-word shingle sets.  A document without words (or a null text) links
     with nothing.  Null identifiers never name a component that has another; repeated rows link as
     equal sets do; other columns are ignored; no rows give no rows.
     """
-    table = materialize(shingle_sets(docs, size), "shingles").withColumn(
-        "row", F.monotonically_increasing_id())
-    worded = table.where(F.col("n_shingles") > 0)
-    classes = (worded.groupBy("signature").agg(F.min("row").alias("class_id")))
-    member = materialize(worded.select("row", "doc_id", "signature").join(classes, "signature")
-                         .select("row", "doc_id", "class_id"), "members")
-    sets = materialize(table.join(member.select("class_id").distinct(),
-                                  F.col("row") == F.col("class_id"), "left_semi")
-                       .select(F.col("row").alias("class_id"), "n_shingles", "shingles"), "classes")
+    whole = shingle_sets(docs, size)
+    table = materialize(whole.select("doc_id", "n_shingles", "class_id"), "members")
     column = Window.partitionBy("shingle")
-    head = materialize(heads(sets, percent).withColumn("df", F.count(F.lit(1)).over(column))
+    head = materialize(heads(whole, percent).withColumn("df", F.count(F.lit(1)).over(column))
                        .where("df > 1").withColumn("before", F.lag(F.struct("class_id", "n")).over(
                            column.orderBy("n", "class_id"))), "heads")
     fits = F.least("n", "before.n") * 100 >= percent * F.greatest("n", "before.n")
     chain = (head.where(F.col("before").isNotNull() & fits)
              .select(F.least("class_id", "before.class_id").alias("a"),
                      F.greatest("class_id", "before.class_id").alias("b")).distinct())
-    links = materialize(verified(materialize(chain, "chain"), sets, percent), "links")
+    links = materialize(verified(materialize(chain, "chain"), docs, table, percent, size), "links")
     part = components(links)
     placed = materialize(head.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
                          .select("shingle", "class_id", "n", "at",
@@ -162,13 +162,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
                 F.max("x.n").alias("na"), F.max("y.n").alias("nb")))
     bound = F.col("o") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     reach = met.where(bound >= _required(F.col("na"), F.col("nb"), percent)).select("a", "b")
-    more = verified(materialize(reach, "pairs"), sets, percent)
-    whole = components(materialize(links.union(more), "all-links"))
-    linked = member.join(whole.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
-        "component", F.coalesce("component", "class_id"))
-    named = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = linked.join(named, "component").select("row", "class_id", "component_id")
-    return table.join(found, "row", "left").select(
-        "row", "doc_id", "n_shingles",
+    more = verified(materialize(reach, "pairs"), docs, table, percent, size)
+    part = materialize(components(materialize(links.union(more), "all-links")), "components")
+    linked = (table.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
+              .withColumn("component", F.coalesce("component", "class_id")))
+    named = (linked.where("component is not null").groupBy("component")
+             .agg(F.min("doc_id").alias("component_id")))
+    return linked.join(named, "component", "left").select(
+        "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "class_id")
