@@ -16,6 +16,8 @@ expanded into its pairs and no link between components is lost.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,77 +31,94 @@ from loomgraph.session import materialize
 COUNTERS = 1 << 17
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, class_id, shingles): sorted distinct hashes, from whole texts."""
+class Sets(NamedTuple):
+    """The shingle sets of the rows ``first`` up to ``last`` of a batch, one after another."""
+    first: int
+    last: int
+    flat: np.ndarray
+    ends: np.ndarray
+    class_ids: pa.Array
+
+
+def chunk_sets(column: pa.Array, size: int) -> Iterator[Sets]:
+    """Sorted distinct hashes of each whole text, some texts at a time; memory is bound by the chunk."""
+    for chunk in text_chunks(column):
+        found = words(chunk)
+        grams = ngrams(found.hashes, size)
+        sets, marks = [np.zeros(0, np.int64)], []
+        for i in range(chunk.last - chunk.first):
+            low, high = found.bounds[i], found.bounds[i + 1]
+            if high - low >= size:
+                got = np.unique(grams[low:high - size + 1])
+            elif high > low:
+                got = ngrams(found.hashes[low:high], int(high - low))
+            else:
+                got = np.zeros(0, np.uint64)
+            got = np.sort(got.view(np.int64))
+            sets.append(got)
+            marks.append(hashlib.md5(got.tobytes()).digest() if len(got) else None)
+        ends = np.cumsum([len(x) for x in sets], dtype=np.int64)
+        yield Sets(chunk.first, chunk.last, np.concatenate(sets), ends, pa.array(marks, pa.binary()))
+
+
+def shingle_sets(docs: DataFrame, size: int, whole: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, class_id[, shingles]): the sets of whole texts, by their digests."""
+    names = ["doc_id", "n_shingles", "class_id", "shingles"][:4 if whole else 3]
+
     def run(batches):
         for batch in batches:
-            sets, counts, marks = [], [], []
-            for chunk in text_chunks(batch["text"]):
-                found = words(chunk)
-                grams = ngrams(found.hashes, size)
-                for i in range(chunk.last - chunk.first):
-                    low, high = found.bounds[i], found.bounds[i + 1]
-                    if high - low >= size:
-                        got = np.unique(grams[low:high - size + 1])
-                    elif high > low:
-                        got = ngrams(found.hashes[low:high], int(high - low))
-                    else:
-                        got = np.zeros(0, np.uint64)
-                    got = np.sort(got.view(np.int64))
-                    sets.append(got)
-                    counts.append(len(got))
-                    marks.append(hashlib.md5(got.tobytes()).digest() if len(got) else None)
-            ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(counts, pa.int64()), pa.array(marks, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                ["doc_id", "n_shingles", "class_id", "shingles"])
+            for got in chunk_sets(batch["text"], size):
+                columns = [batch["doc_id"].slice(got.first, got.last - got.first),
+                           pa.array(np.diff(got.ends)), got.class_ids]
+                if whole:
+                    columns.append(pa.ListArray.from_arrays(
+                        pa.array(got.ends.astype(np.int32)), pa.array(got.flat)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select("doc_id", "text")
     key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {key}, n_shingles long, class_id binary, shingles array<long>")
+    kinds = [key, "long", "binary", "array<long>"]
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
 
 
-def heads(sets: DataFrame, percent: int) -> DataFrame:
+def heads(docs: DataFrame, percent: int, size: int) -> DataFrame:
     """(shingle, class_id, n, at): the heads of the classes' sets, rare shingles first, once a class."""
+    def slots(flat):
+        return (flat.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
     def count(batches):
         table = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            flat = batch["shingles"].flatten().to_numpy(zero_copy_only=False)
-            table += np.bincount(flat.view(np.uint64) % np.uint64(COUNTERS), minlength=COUNTERS)
+            for got in chunk_sets(batch["text"], size):
+                table += np.bincount(slots(got.flat), minlength=COUNTERS)
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used])], ["slot", "n"])
 
-    counts = (sets.select("shingles").mapInArrow(count, "slot long, n long")
+    counts = (docs.select("text").mapInArrow(count, "slot long, n long")
               .groupBy("slot").agg(F.sum("n").alias("n"))).toArrow()  # at most COUNTERS rows
     table = np.zeros(COUNTERS, np.int64)
     table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
-    shared = sets.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def cut(batches):
-        table = shared.value
         for batch in batches:
-            flat = batch["shingles"].flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate([[0], np.cumsum(batch["n"].to_numpy())])
-            often = table[(flat.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)]
-            out, where, size, at = [], [], [], []
-            for i in range(batch.num_rows):
-                low, n = ends[i], int(ends[i + 1] - ends[i])
-                order = np.argsort(often[low:low + n], kind="stable")  # equal counts: by hash
-                head = order[:n + (-percent * n) // 100 + 1]
-                out.append(flat[low:low + n][head])
-                where.append(np.full(len(head), i))
-                size.append(np.full(len(head), n))
-                at.append(np.arange(len(head)))
-            if out:
-                out, where, size, at = (np.concatenate(x).astype(np.int64) for x in (out, where, size, at))
+            for got in chunk_sets(batch["text"], size):
+                often = shared.value[slots(got.flat)]
+                parts = []
+                for low, high in zip(got.ends[:-1], got.ends[1:]):
+                    n = int(high - low)
+                    order = np.argsort(often[low:high], kind="stable")  # equal counts: by hash
+                    parts.append(low + order[:n + (-percent * n) // 100 + 1 if n else 0])
+                lengths = np.array([len(x) for x in parts], np.int64)
+                row = np.repeat(np.arange(len(parts)), lengths)
+                at = np.arange(len(row)) - (np.cumsum(lengths) - lengths)[row]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out), batch["class_id"].take(pa.array(where)), pa.array(size), pa.array(at)],
+                    [pa.array(got.flat[np.concatenate(parts).astype(np.int64)]), got.class_ids.take(pa.array(row)),
+                     pa.array(np.diff(got.ends)[row]), pa.array(at)],
                     ["shingle", "class_id", "n", "at"])
 
-    return (sets.where("n_shingles > 0").select("class_id", F.col("n_shingles").alias("n"), "shingles")
-            .mapInArrow(cut, "shingle long, class_id binary, n long, at long").distinct())
+    return docs.select("text").mapInArrow(
+        cut, "shingle long, class_id binary, n long, at long").distinct()
 
 
 def _required(n: Column, m: Column, percent: int) -> Column:
@@ -132,10 +151,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     with nothing.  Null identifiers never name a component that has another; repeated rows link as
     equal sets do; other columns are ignored; no rows give no rows.
     """
-    whole = shingle_sets(docs, size)
-    table = materialize(whole.select("doc_id", "n_shingles", "class_id"), "members")
+    table = materialize(shingle_sets(docs, size, whole=False), "members")
     column = Window.partitionBy("shingle")
-    head = materialize(heads(whole, percent).withColumn("df", F.count(F.lit(1)).over(column))
+    head = materialize(heads(docs, percent, size).withColumn("df", F.count(F.lit(1)).over(column))
                        .where("df > 1").withColumn("before", F.lag(F.struct("class_id", "n")).over(
                            column.orderBy("n", "class_id"))), "heads")
     fits = F.least("n", "before.n") * 100 >= percent * F.greatest("n", "before.n")
