@@ -101,13 +101,15 @@ def heads(docs: DataFrame, percent: int, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def cut(batches):
+        seen = set()  # of this task: copies in it give their head once, the rest go after the shuffle
         for batch in batches:
             for got in chunk_sets(batch["text"], size):
                 often = shared.value[slots(got.flat)]
                 parts = []
-                for low, high in zip(got.ends[:-1], got.ends[1:]):
-                    n = int(high - low)
-                    order = np.argsort(often[low:high], kind="stable")  # equal counts: by hash
+                for low, high, name in zip(got.ends[:-1], got.ends[1:], got.class_ids.to_pylist()):
+                    n = 0 if name in seen else int(high - low)
+                    seen.add(name)
+                    order = np.argsort(often[low:low + n], kind="stable")  # equal counts: by hash
                     parts.append(low + order[:n + (-percent * n) // 100 + 1 if n else 0])
                 lengths = np.array([len(x) for x in parts], np.int64)
                 row = np.repeat(np.arange(len(parts)), lengths)
@@ -117,8 +119,9 @@ def heads(docs: DataFrame, percent: int, size: int) -> DataFrame:
                      pa.array(np.diff(got.ends)[row]), pa.array(at)],
                     ["shingle", "class_id", "n", "at"])
 
+    # one shuffle serves the distinct and the windows over a shingle's column
     return docs.select("text").mapInArrow(
-        cut, "shingle long, class_id binary, n long, at long").distinct()
+        cut, "shingle long, class_id binary, n long, at long").repartition("shingle").distinct()
 
 
 def _required(n: Column, m: Column, percent: int) -> Column:
