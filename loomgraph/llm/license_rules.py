@@ -59,7 +59,7 @@ def license_spans(docs: DataFrame, known: dict[str, str] | None = None,
               .join(table, "sentence").select("key", "at", "sentence_id"))
     return (placed.join(steps, "sentence_id")
             .groupBy("key", "rule", "license", "size", (F.col("at") - F.col("step")).alias("first"))
-            .agg(F.count(F.lit(1)).alias("n")).where("n = size")
+            .agg(F.count_distinct("step").alias("n")).where("n = size")  # equal rows share a key
             .select("key", "license", "rule", "first", (F.col("first") + F.col("size") - 1).alias("last")))
 
 

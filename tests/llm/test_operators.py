@@ -257,6 +257,12 @@ def test_licences(spark, docs, empty):
     assert scan_licenses(docs).count() == len(ROWS) and scan_licenses(empty).count() == 0
 
 
+def test_licences_of_repeated_rows(spark):
+    rows = [(1, "Released under the MIT License.")] * 2 + [(2, "Licensed under the Apache License, Version 2.0.")] * 2
+    got = sorted(map(tuple, scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 1, "MIT", "MIT")] * 2 + [(2, 1, "Apache-2.0", "Apache-2.0")] * 2
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     spark.createDataFrame([(1, passage(2, 13))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
