@@ -263,6 +263,74 @@ def test_licences_of_repeated_rows(spark):
     assert got == [(1, 1, "MIT", "MIT")] * 2 + [(2, 1, "Apache-2.0", "Apache-2.0")] * 2
 
 
+HEADERS = {
+    "Apache-2.0": """# Copyright 2020 Someone
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *
+ *     * Redistributions of source code must retain the above copyright
+ * notice, this list of conditions and the following disclaimer.
+ *     * Redistributions in binary form must reproduce the above
+ * copyright notice, this list of conditions and the following disclaimer
+ * in the documentation and/or other materials provided with the
+ * distribution.
+ *     * Neither the name of Some Company Inc. nor the names of its
+ * contributors may be used to endorse or promote products derived from
+ * this software without specific prior written permission.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the \u201cSoftware\u201d), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU Affero General Public License as published
+    by the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "GPL-2.0": """// it under the terms of the GNU General Public License version 2
+// This program is free software; you can redistribute it and/or modify it
+// under the terms of the GNU General Public License as published by the
+// Free Software Foundation; version 2 of the License.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "EPL-2.0": """ * This program and the accompanying materials are made
+ * available under the terms of the Eclipse Public License 2.0
+ * which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free",
+    "GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "CC-BY-4.0": "The data are licensed under a Creative Commons Attribution 4.0 International License.",
+}
+
+
+def test_licence_headers(spark):
+    rows = [(name, text) for name, text in HEADERS.items()] + [
+        ("MIT", "A line\nThis file is licensed under the MIT license.\r\nMore"), (None, "It is not licensed under the MIT license."),
+        (None, "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+        (None, "Licensed under\n \t\nthe MIT license."), ("GPL-3.0-or-later", "Released under GPLv3+.")]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.license or "") for r in got) == sorted((n or "", n or "") for n, _ in rows)
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     spark.createDataFrame([(1, passage(2, 13))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
