@@ -1,13 +1,13 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes, exact for every window.
 
-Suffixes are kept at minimiser positions only: of every ``min_words - K + 1`` consecutive ``K``-word
-pieces the one with the smallest hash, so each passage of ``min_words`` words holds one, and copies
-of a passage hold the same.  Positions whose piece occurs once are dropped; the others are sorted by
-what follows them, and again by what precedes them, each is compared with its neighbours in both
-orders, and a match is extended left and right.  Matches of ``min_words`` words or more are marked.
+Each window of ``min_words`` words is named by the first of its smallest-hashed ``K``-word pieces, so
+equal windows hold the same piece at the same offset.  Consecutive windows with one such place form a
+run.  Runs found more than once, in whole, are marked.  Where a piece stands in several different
+runs, the windows of each such run are counted by their hash, one copy of a run with the number of its
+places, and the windows found more than once are marked.  So every repeated window is found however
+many places a piece has, and no task needs all places of a piece at once.
 
-Right and left contexts are cut at ``min_words`` words: a longer passage has further minimisers, and
-their marks join up.
+Windows are told apart by two 64-bit hashes, of their words and of their piece.
 """
 from __future__ import annotations
 
@@ -15,19 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loomgraph.llm.kernel import ngrams, text_chunks, words
+from loomgraph.llm.kernel import as_long, mix, ngrams, powers, text_chunks, words
 from loomgraph.session import materialize
 
 K = 8
 
 
 def _key() -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"),
-                          F.coalesce("text", F.lit(""))).cast("binary"))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"),
+                                  F.coalesce("text", F.lit(""))).cast("binary")))
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest hash (the first of equals) of each ``window`` consecutive hashes."""
+    """Where the smallest hash (the first of equals) of each ``window`` consecutive hashes is."""
     if len(grams) < window:
         return np.zeros(0, np.int64)
     best = np.arange(len(grams))
@@ -37,92 +37,85 @@ def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
         left, right = best[:-step], best[step:]
         best = np.where(grams[right] < grams[left], right, left)
         span += step
-    return np.unique(best)
+    return best
 
 
-def _positions(docs: DataFrame, min_words: int) -> DataFrame:
+def _runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """(key, low, size, piece, run): windows ``low`` up to ``low + size`` of a text share a piece's place."""
     def run(batches):
         for batch in batches:
             for chunk in text_chunks(batch["text"]):
                 found = words(chunk)
-                grams = ngrams(found.hashes, K)
-                for i in range(chunk.last - chunk.first):
-                    low, high = int(found.bounds[i]), int(found.bounds[i + 1])
-                    if high - low < min_words:
-                        continue
-                    at = minimisers(grams[low:high - K + 1], min_words - K + 1)
-                    key = batch["key"][chunk.first + i]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key.as_py()] * len(at)), pa.array(at),
-                         pa.array(grams[low + at].view(np.int64))], ["key", "at", "piece"])
-
-    return docs.mapInArrow(run, "key string, at long, piece long")
-
-
-def _suffixes(rows: DataFrame, min_words: int) -> DataFrame:
-    """Each kept position with its following and (reversed) preceding words as 4-byte hashes."""
+                h, n = found.hashes, len(found.hashes)
+                if n < min_words:
+                    continue
+                grams = ngrams(h, K)
+                best = minimisers(grams, min_words - K + 1)
+                at = np.flatnonzero(found.docs[:n - min_words + 1] == found.docs[min_words - 1:])
+                if not len(at):
+                    continue
+                place = best[at]
+                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                size = np.diff(np.append(first, len(at)))
+                low, place = at[first], place[first]
+                up, down = powers(n + 1)
+                sums = np.zeros(n + 1, np.uint64)
+                np.cumsum(h * up[:-1], out=sums[1:])
+                end = low + size - 1 + min_words
+                whole = mix((sums[end] - sums[low]) * down[low] + (end - low).astype(np.uint64))
+                whole = mix(whole + (place - low).astype(np.uint64))
+                doc = found.docs[low]
+                yield pa.RecordBatch.from_arrays(
+                    [batch["key"].take(pa.array(chunk.first + doc)), pa.array((low - found.bounds[doc]).astype(np.int32)),
+                     pa.array(size.astype(np.int32)), as_long(grams[place]), as_long(whole)],
+                    ["key", "low", "size", "piece", "run"])
+
+    return docs.mapInArrow(run, "key binary, low int, size int, piece long, run long")
+
+
+def _windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, at, piece, hash, n): each window of the runs in ``kept``."""
     def run(batches):
         for batch in batches:
-            kept = batch["kept"].to_pylist()
             for chunk in text_chunks(batch["text"]):
                 found = words(chunk)
-                small = (found.hashes >> np.uint64(32)).astype(">u4")
-                for i in range(chunk.last - chunk.first):
-                    low, high = int(found.bounds[i]), int(found.bounds[i + 1])
-                    text, key = small[low:high], batch["key"][chunk.first + i].as_py()
-                    ats = np.array([k["at"] for k in kept[chunk.first + i]], np.int64)
-                    pieces = [k["piece"] for k in kept[chunk.first + i]]
-                    for first in range(0, len(ats), 4096):
-                        part = ats[first:first + 4096]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([key] * len(part)), pa.array(part), pa.array(pieces[first:first + 4096], pa.int64()),
-                             pa.array([text[a:a + min_words].tobytes() for a in part], pa.binary()),
-                             pa.array([text[max(0, a - min_words):a][::-1].tobytes() for a in part], pa.binary())],
-                            ["key", "at", "piece", "after", "before"])
-
-    return rows.mapInArrow(run, "key string, at long, piece long, after binary, before binary")
-
-
-def _extend(pairs: DataFrame, min_words: int) -> DataFrame:
-    """(key, at, left, right) for both sides of each neighbour pair that matches far enough."""
-    def common(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b)) // 4
-        differ = np.flatnonzero(np.frombuffer(a, "u4", n) != np.frombuffer(b, "u4", n))
-        return int(differ[0]) if len(differ) else n
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for key, at, after, before, other in zip(*(batch[c].to_pylist() for c in (
-                    "key", "at", "after", "before", "other"))):
-                right, left = common(after, other["after"]), common(before, other["before"])
-                if right + left >= min_words:
-                    out += [(key, at, left, right), (other["key"], other["at"], left, right)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)],
-                                                 ["key", "at", "left", "right"])
+                hashes = ngrams(found.hashes, min_words)
+                kept = batch["kept"].slice(chunk.first, chunk.last - chunk.first)
+                doc = np.repeat(np.arange(len(kept)), kept.value_lengths().to_numpy())
+                low, size, piece, n = (kept.flatten().field(c).to_numpy() for c in ("low", "size", "piece", "n"))
+                for part in range(0, len(doc), 4096):
+                    some = slice(part, part + 4096)
+                    back = np.repeat(np.arange(len(doc[some])), size[some])
+                    step = np.arange(len(back)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+                    at = low[some][back].astype(np.int64) + step
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["key"].take(pa.array(chunk.first + doc[some][back])), pa.array(at.astype(np.int32)),
+                         pa.array(piece[some][back]), as_long(hashes[found.bounds[doc[some][back]] + at]), pa.array(n[some][back])],
+                        ["key", "at", "piece", "hash", "n"])
 
-    return pairs.mapInArrow(run, "key string, at long, left long, right long")
+    return rows.mapInArrow(run, "key binary, at int, piece long, hash long, n long")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(key, first, last): word ranges that occur elsewhere too, joined where they touch."""
     rows = docs.select(_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = materialize(_positions(rows, min_words), "minimisers")
-    often = placed.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("piece")
-    kept = (placed.join(often, "piece", "left_semi").distinct().groupBy("key")
-            .agg(F.collect_list(F.struct("at", "piece")).alias("kept")))  # at most a text's positions
     # rows equal in identifier and text share a key, but each counts as a copy
-    suffixes = materialize(_suffixes(rows.join(kept, "key"), min_words), "suffixes")
-    entry = F.struct("key", "at", "after", "before")
-    marks = None
-    for order in (("after", "before"), ("before", "after")):
-        line = Window.partitionBy("piece").orderBy(*order, "key", "at")
-        pairs = suffixes.withColumn("other", F.lag(entry).over(line)).where("other is not null")
-        found = _extend(pairs.drop("piece"), min_words)
-        marks = found if marks is None else marks.union(found)
-    spans = (materialize(marks, "marks").groupBy("key", "at", "left", "right").count()
-             .select("key", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("last")))
+    placed = materialize(_runs(rows, min_words), "runs")
+    kinds = materialize(placed.groupBy("piece", "run").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "low", "size")).alias("one")), "run-kinds")
+    often = kinds.where("n > 1").select("piece", "run")
+    whole = placed.join(often, ["piece", "run"], "left_semi").select(
+        "key", F.col("low").alias("first"), (F.col("low") + F.col("size") - 1 + min_words).alias("last"))
+    mixed = kinds.groupBy("piece").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("piece")
+    kept = (kinds.join(mixed, "piece", "left_semi").groupBy("one.key")
+            .agg(F.collect_list(F.struct("one.low", "one.size", "piece", "n")).alias("kept")))  # at most a text's runs
+    windows = materialize(_windows(rows.join(kept, "key").dropDuplicates(["key"]), min_words), "windows")
+    met = windows.groupBy("piece", "hash").agg(F.sum("n").alias("all")).where("all > 1").select("piece", "hash")
+    # runs with n > 1 are marked in whole
+    single = windows.where("n = 1").join(met, ["piece", "hash"], "left_semi").select(
+        "key", F.col("at").alias("first"), (F.col("at") + min_words).alias("last"))
+    spans = materialize(whole.union(single), "marks").select(
+        "key", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
     by_start = Window.partitionBy("key").orderBy("first", "last")
     reach = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("first") <= reach, 0).otherwise(1)

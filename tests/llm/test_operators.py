@@ -224,6 +224,25 @@ def test_suffix_dedup(docs, empty):
     assert mark_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_among_many_partners(spark):
+    # parts of one passage: a piece has many holders, most of which share under 50 words
+    rng, base, rows = np.random.default_rng(5), [f"b{i}" for i in range(64)], []
+    for i in range(400):
+        low, high = sorted(rng.choice(65, 2, replace=False))
+        around = [f"r{i}x{j}" for j in range(60)]
+        rows.append((i, " ".join(around[:30] + base[low:high] + around[30:])))
+    counts, want = Counter(), []
+    for _, text in rows:
+        w = text.split()
+        counts.update(tuple(w[j:j + 50]) for j in range(len(w) - 49))
+    for i, text in rows:
+        w = text.split()
+        covered = {k for j in range(len(w) - 49) if counts[tuple(w[j:j + 50])] > 1 for k in range(j, j + 50)}
+        want.append((i, len(covered)))
+    got = mark_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    same([tuple(r) for r in got.select("doc_id", "n_repeated").collect()], want)
+
+
 def test_bloom_lm(docs, empty):
     counts = Counter(w for r in ROWS for w in [*blank_words(r[1]), "</s>"])
     total, distinct = sum(counts.values()), len(counts)
