@@ -2,9 +2,9 @@
 
 The level of a count is ``1 + floor(log2(count))``.  An n-gram is put into the filter once for each
 level up to its own, so a count is read back by probing levels until one is missing; errors can only
-overstate.  Unigrams of any count and longer n-grams seen ``MIN_COUNT`` times or more are held.  The
-filter has ``BITS_PER_ENTRY`` bits for each entry, so it grows with the corpus; its size is checked
-against ``max_bytes`` before it is broadcast.
+overstate.  All n-grams are held.  The filter has ``BITS_PER_ENTRY`` bits for each entry, so it grows
+with the corpus; beyond ``max_bytes`` it is cut into parts by hash, each built, broadcast and probed
+in a pass of its own.
 
 Probabilities interpolate the orders.  The base score (add-half unigrams) uses exact counts, by join.
 """
@@ -19,7 +19,9 @@ from loomgraph.session import materialize
 
 BITS_PER_ENTRY = 12
 PROBES = 4
-MIN_COUNT = 2
+#: 8-byte words of the filter in one row, and rows brought to the driver at once (64 MB).
+SLICE = 1 << 13
+ROWS = 1 << 10
 #: Weight of the longer history, per order above the first.
 MIXING = 0.3
 _END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -46,7 +48,7 @@ def _history(hashes: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
 
 
 def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """(size, gram, n) over whole texts; sizes above 1 with ``MIN_COUNT`` or more only."""
+    """(size, gram, n) over whole texts."""
     def run(batches):
         for batch in batches:
             for _, hashes, bounds in _tokens(batch):
@@ -58,8 +60,7 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
                         ["size", "gram", "n"])
 
     return (docs.select("text").mapInArrow(run, "size int, gram long, n long")
-            .groupBy("size", "gram").agg(F.sum("n").alias("n"))
-            .where((F.col("size") == 1) | (F.col("n") >= MIN_COUNT)))
+            .groupBy("size", "gram").agg(F.sum("n").alias("n")))
 
 
 def _bits(grams: np.ndarray, level: int, size: int) -> list[np.ndarray]:
@@ -68,13 +69,21 @@ def _bits(grams: np.ndarray, level: int, size: int) -> list[np.ndarray]:
     return [((base + np.uint64(k) * step) % np.uint64(size)).astype(np.int64) for k in range(PROBES)]
 
 
-def build_filter(counts: DataFrame, max_bytes: int) -> np.ndarray:
-    """The filter as bytes; ORed per partition, then by slot."""
-    level = 1 + F.floor(F.log2(F.col("n").cast("double")))
-    entries = counts.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
+def n_parts(counts: DataFrame, max_bytes: int) -> int:
+    """Parts of the filter, so that each has about ``max_bytes`` at most."""
+    entries = counts.agg(F.coalesce(F.sum(_level()), F.lit(0))).first()[0]
+    return max(1, -(-int(entries) * BITS_PER_ENTRY // (8 * max_bytes)))
+
+
+def _level():
+    return 1 + F.floor(F.log2(F.col("n").cast("double")))
+
+
+def build_filter(counts: DataFrame, part: int = 0, parts: int = 1) -> np.ndarray:
+    """One part of the filter; ORed per batch, then by slice, and brought to the driver as bytes."""
+    counts = counts.where(F.pmod("gram", F.lit(parts)) == part)
+    entries = counts.agg(F.coalesce(F.sum(_level()), F.lit(0))).first()[0]
     size = max(1024, -(-int(entries) * BITS_PER_ENTRY // 64) * 64)
-    if size // 8 > max_bytes:
-        raise ValueError(f"the filter needs {size // 8} bytes; max_bytes is {max_bytes}")
 
     def run(batches):
         for batch in batches:
@@ -84,13 +93,25 @@ def build_filter(counts: DataFrame, max_bytes: int) -> np.ndarray:
                 where = np.unique(np.concatenate(_bits(grams[levels >= level], level, size)))
                 slot, first = np.unique(where >> 6, return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (where & 63).astype(np.uint64), first) if len(slot) else where.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(value.view(np.int64))], ["slot", "value"])
-
-    rows = (counts.select("gram", level.alias("level")).mapInArrow(run, "slot long, value long")
-            .groupBy("slot").agg(F.bit_or("value").alias("value")).toArrow())  # max_bytes / 8 rows at most
-    table = np.zeros(size // 64, np.uint64)
-    table[rows["slot"].to_numpy()] = rows["value"].to_numpy().view(np.uint64)
-    return table
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot // SLICE), pa.array((slot % SLICE).astype(np.int32)), pa.array(value.view(np.int64))],
+                    ["slice", "slot", "value"])
+
+    def dense(group: pa.Table) -> pa.Table:
+        held = np.zeros(SLICE, np.uint64)
+        held[group["slot"].to_numpy()] = group["value"].to_numpy().view(np.uint64)
+        return pa.table({"slice": group["slice"][:1], "held": pa.array([held.tobytes()], pa.binary())})
+
+    slices = materialize(
+        counts.select("gram", _level().alias("level")).mapInArrow(run, "slice long, slot int, value long")
+        .groupBy("slice", "slot").agg(F.bit_or("value").alias("value"))  # at most SLICE rows a slice
+        .groupBy("slice").applyInArrow(dense, "slice long, held binary"), "filter")
+    table = np.zeros(-(-(size // 64) // SLICE) * SLICE, np.uint64)
+    for low in range(0, len(table) // SLICE, ROWS):
+        rows = slices.where(F.col("slice").between(low, low + ROWS - 1)).toArrow()
+        for at, held in zip(rows["slice"].to_pylist(), rows["held"]):
+            table[at * SLICE:(at + 1) * SLICE] = np.frombuffer(held.as_buffer(), np.uint64)
+    return table[:size // 64]
 
 
 def probe(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -120,15 +141,41 @@ def score(docs: DataFrame, training: DataFrame, order: int = 2, max_bytes: int =
     one = counts.where("size = 1")
     total, distinct = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(build_filter(counts, max_bytes))
+    parts = n_parts(counts, max_bytes)
     room = total + 0.5 * (distinct + 1)
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def counted(batch, shared, part):
+        """Tokens of a batch with their counts from this part of the filter and those before."""
         table = shared.value
+        for first, hashes, bounds in _tokens(batch):
+            grams = [_history(hashes, bounds, size) for size in range(1, order + 1)]
+            seen = []
+            for g in grams:
+                here = (g.view(np.int64) % parts == part) if parts > 1 else np.ones(len(g), bool)
+                seen.append(probe(table, np.where(here, g, np.uint64(0))))
+            if part:
+                before = batch["seen"].slice(first, len(bounds) - 1).flatten().to_numpy()
+                seen = list(np.array(seen) + before.reshape(-1, order).T)
+            yield first, bounds, grams, seen
+
+    for part in range(parts - 1):
+        def gather(batches, part=part, shared=spark.sparkContext.broadcast(build_filter(counts, part, parts))):
+            for batch in batches:
+                for first, bounds, _, seen in counted(batch, shared, part):
+                    n = len(bounds) - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].slice(first, n), batch["text"].slice(first, n),
+                         pa.ListArray.from_arrays(pa.array((bounds * order).astype(np.int32)), pa.array(np.array(seen).T.ravel()))],
+                        ["doc_id", "text", "seen"])
+
+        rows = materialize(rows.mapInArrow(gather, f"doc_id {kind}, text string, seen array<double>"), "seen")
+    shared = spark.sparkContext.broadcast(build_filter(counts, parts - 1, parts))
+
+    def run(batches):
         for batch in batches:
-            for first, hashes, bounds in _tokens(batch):
-                grams = [_history(hashes, bounds, size) for size in range(1, order + 1)]
-                seen = [probe(table, g) for g in grams]
+            for first, bounds, grams, seen in counted(batch, shared, parts - 1):
                 p = (seen[0] + 0.5) / room
                 for size in range(2, order + 1):
                     context = np.concatenate([[0.0], seen[size - 2][:-1]])
@@ -146,8 +193,6 @@ def score(docs: DataFrame, training: DataFrame, order: int = 2, max_bytes: int =
                      pa.array(tokens, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))],
                     ["doc_id", "n_tokens", "score", "tokens"])
 
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
     scored = materialize(rows.mapInArrow(
         run, f"doc_id {kind}, n_tokens long, score double, tokens array<struct<gram:bigint,n:bigint>>"),
         "scored").withColumn("row", F.monotonically_increasing_id())

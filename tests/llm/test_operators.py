@@ -256,6 +256,17 @@ def test_bloom_lm(docs, empty):
     assert {r.n_known for r in bloom_lm.score(docs, empty).collect()} == {0}
 
 
+def test_bloom_lm_holds_all_and_in_parts(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "a c d " + " ".join(f"w{i}" for i in range(3000))), (3, None)], "doc_id long, text string")
+    whole, cut = ({r.doc_id: r for r in bloom_lm.score(texts, texts, **some).collect()} for some in ({}, {"max_bytes": 4000}))
+    total, distinct = 3008, 3005  # a twice, an end thrice (which counts as 2.5, the middle of its level)
+    p = [(c + 0.5) / (total + 0.5 * (distinct + 1)) for c in (2.5, 1, 2.5)]
+    # "a b" and "b <end>" are seen once
+    want = math.log10(p[0]) + math.log10(0.7 * p[1] + 0.3 / 2.5) + math.log10(0.7 * p[2] + 0.3)
+    assert abs(whole[1].score - want) < 1e-6, (whole[1].score, want)
+    assert all(abs(whole[i].score - cut[i].score) < 0.02 * abs(whole[i].score) for i in (1, 2, 3))
+
+
 def test_quality_rules(spark, docs, empty):
     rows = [(i, ("calm words here " if i % 2 else "LOUD!! WORDS!! ") * (5 + i % 7)) for i in range(200)]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
