@@ -5,7 +5,7 @@ import math
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,18 +177,24 @@ def impact_summary(impact: DataFrame) -> DataFrame:
 def impact_context(impact: DataFrame, lines_per_page: int = 1000) -> DataFrame:
     """Warning text per (target, depth, page), one line per dependent in id order.
 
-    A target with very many dependents is spread over pages by a hash of the dependent's id, so no
-    task ever holds more than about ``lines_per_page`` lines of one target.
+    A target with very many dependents is cut into pages of ``lines_per_page`` lines that follow each
+    other in id order.  Places are counted in ranges of ids, so no task holds all lines of one target.
     """
     label = F.when(F.col("depth") == 1, F.lit("Direct")).otherwise(
         F.concat(F.lit("Indirect (Depth "), F.col("depth").cast("string"), F.lit(")")))
     line = F.concat(F.lit("- ["), label, F.lit("] "), F.col("story_id"), F.lit(" ("),
                     F.col("title"), F.lit(")"))
-    sizes = impact.groupBy("target", "depth").agg(
-        F.ceil(F.count(F.lit(1)) / lines_per_page).cast("bigint").alias("_pages"))
-    spread = F.conv(F.substring(F.md5("story_id"), 1, 8), 16, 10).cast("bigint") % F.col("_pages")
-    return (impact.join(sizes, ["target", "depth"])
-            .select("target", "depth", spread.alias("page"), "story_id", line.alias("line"))
+    placed = materialize(
+        impact.select("target", "depth", "story_id", line.alias("line"))
+        .repartitionByRange("target", "depth", "story_id").withColumn("_range", F.spark_partition_id()),
+        "impact-lines")
+    by_range = Window.partitionBy("target", "depth").orderBy("_range")
+    sizes = placed.groupBy("target", "depth", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("target", "depth", "_range", (F.sum("_n").over(by_range) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("target", "depth", "_range").orderBy("story_id", "line")) - 1
+    page = F.floor((F.col("_before") + F.col("_place")) / lines_per_page).cast("bigint")
+    return (placed.withColumn("_place", place).join(before, ["target", "depth", "_range"])
+            .select("target", "depth", page.alias("page"), "story_id", "line")
             .groupBy("target", "depth", "page")
             .agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("story_id", "line"))),

@@ -155,6 +155,14 @@ def test_hub_is_paged_whole(spark):
     assert sorted(lines) == [f"- [Direct] {x} (title {x})" for x in leaves]
 
 
+def test_pages_follow_id_order(spark):
+    leaves = [f"l{i:03d}" for i in range(250)]
+    found = impact_map(stories(spark, leaves), edges(spark, [(x, "hub") for x in leaves]), targets(spark, "hub"))
+    pages = sorted(impact_context(found, lines_per_page=60).collect(), key=lambda p: p.page)
+    assert [(p.page, p.n_lines) for p in pages] == [(0, 60), (1, 60), (2, 60), (3, 60), (4, 10)]
+    assert "\n".join(p.context for p in pages).split("\n") == [f"- [Direct] {x} (title {x})" for x in leaves]
+
+
 @slow
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=14), st.sampled_from([2, 1000]))
 def test_bfs_against_plain_search(spark, pairs, bucket_rows):
