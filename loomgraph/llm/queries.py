@@ -13,6 +13,7 @@ from loomgraph.llm.jaccard_join import jaccard_components
 from loomgraph.llm.language_id import held_out, identify
 from loomgraph.llm.license_rules import scan_licenses
 from loomgraph.llm.piece_codec import digests
+from loomgraph.llm.prefix_trie import conversation_trie
 from loomgraph.llm.suffix_dedup import mark_repeats
 from loomgraph.session import tune
 
@@ -140,3 +141,52 @@ def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur more than once."""
     return mark_repeats(read(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_trie", """
+    WITH RECURSIVE said AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS head,
+               xor(list_reduce(list_transform(range(1, len(conv_id::VARCHAR) + 1),
+                                              lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT),
+                               lambda crc, b: list_reduce(range(8),
+                                   lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor(crc, b)),
+                               4294967295::BIGINT), 4294967295::BIGINT) % 6 AS h
+        FROM (SELECT DISTINCT conv_id FROM said)),
+    rebuilt AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS pos, role, text
+        FROM (SELECT c.conv_id, 0 AS own, s.pos, s.role, s.text
+              FROM convs c JOIN said s ON s.conv_id = c.head AND s.pos <= c.h
+              UNION ALL
+              SELECT c.conv_id, 1, s.pos, s.role, s.text
+              FROM convs c JOIN said s ON s.conv_id = c.conv_id AND s.pos > c.h)),
+    keyed AS (  -- the digest of a prefix from that of the prefix before it
+        SELECT c.conv_id, 0::BIGINT AS pos, 'root' AS node, NULL::VARCHAR AS parent, 0::BIGINT AS chars FROM convs c
+        UNION ALL
+        SELECT k.conv_id, r.pos, sha256(k.node || len(r.role)::VARCHAR || ':' || r.role || r.text), k.node, len(r.text)
+        FROM keyed k JOIN rebuilt r ON r.conv_id = k.conv_id AND r.pos = k.pos + 1),
+    nodes AS (
+        SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(pos) AS depth,
+               count(*) AS n_convs, any_value(chars) AS chars FROM keyed GROUP BY node),
+    kids AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+    up AS (
+        SELECT n.node AS top, n.node, n.parent, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf,
+               (n.n_convs - 1) * n.chars AS saved
+        FROM nodes n LEFT JOIN kids k USING (node)
+        UNION ALL
+        SELECT p.node, u.node, p.parent, u.leaf, u.saved FROM up u JOIN nodes p ON p.node = u.parent),
+    totals AS (SELECT top AS node, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY top),
+    ends AS (
+        SELECT node, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids
+        FROM keyed k WHERE pos = (SELECT count(*) FROM rebuilt r WHERE r.conv_id = k.conv_id) GROUP BY node)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children,
+           t.n_leaves::BIGINT AS n_leaves, t.saved_tokens::BIGINT AS saved_tokens,
+           sha256(coalesce(e.ids, '')) AS ends_sha256
+    FROM nodes n JOIN totals t USING (node) LEFT JOIN kids k USING (node)
+    LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN ends e ON e.node = n.node""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with totals of its subtree."""
+    return conversation_trie(read(spark, sf_dir, "conversations"))
