@@ -104,9 +104,9 @@ class Words(NamedTuple):
     bounds: np.ndarray
 
 
-def words(texts: Texts, separators: np.ndarray = BLANKS) -> Words:
-    """The lower-cased (A-Z) words of some documents."""
-    data, offsets = LOWER[texts.data], texts.offsets
+def words(texts: Texts, separators: np.ndarray = BLANKS, fold: bool = True) -> Words:
+    """The words of some documents, lower-cased (A-Z) unless ``fold`` is off."""
+    data, offsets = LOWER[texts.data] if fold else texts.data, texts.offsets
     n_docs, size = len(offsets) - 1, len(data)
     if not size:
         empty = np.zeros(0, np.int64)

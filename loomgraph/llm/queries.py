@@ -15,6 +15,7 @@ from loomgraph.llm.license_rules import scan_licenses
 from loomgraph.llm.piece_codec import digests
 from loomgraph.llm.prefix_trie import conversation_trie
 from loomgraph.llm.suffix_dedup import mark_repeats
+from loomgraph.llm.whitening import whiten
 from loomgraph.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +191,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of rebuilt conversations, with totals of its subtree."""
     return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every usable vector on the sixteen largest components."""
+    return whiten(read(spark, sf_dir, "embeddings"))
