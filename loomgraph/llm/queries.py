@@ -14,6 +14,7 @@ from loomgraph.llm.language_id import held_out, identify
 from loomgraph.llm.license_rules import scan_licenses
 from loomgraph.llm.piece_codec import digests
 from loomgraph.llm.prefix_trie import conversation_trie
+from loomgraph.llm.relative_lz import remove_repeats
 from loomgraph.llm.suffix_dedup import mark_repeats
 from loomgraph.llm.whitening import whiten
 from loomgraph.session import tune
@@ -197,3 +198,20 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every usable vector on the sixteen largest components."""
     return whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_relative_lz", """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                                          lambda w: w <> '') AS w FROM documents),
+    places AS (SELECT doc_id, pos, array_to_string(list_slice(w, pos, pos + 49), ' ') AS s
+               FROM d, unnest(range(1, len(w) - 48)) AS t(pos) WHERE len(w) >= 50),
+    firsts AS (SELECT s, min(doc_id) AS first FROM places GROUP BY s),
+    gone AS (SELECT DISTINCT doc_id, q FROM places JOIN firsts USING (s), unnest(range(pos, pos + 50)) AS t(q)
+             WHERE doc_id > first),
+    lists AS (SELECT doc_id, list(q) AS gone FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+           sha256(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
+    FROM d LEFT JOIN lists USING (doc_id)""")
+def op13_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that an earlier document holds."""
+    return remove_repeats(read(spark, sf_dir, "documents"))
