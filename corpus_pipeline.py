@@ -10,14 +10,13 @@ stays.  Empty tables give no rows; further columns pass through.
 """
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loomgraph.llm.decontamination import decontaminate
 from loomgraph.llm.exact_dedup import exact_duplicates
 from loomgraph.llm.jaccard_join import jaccard_components
 from loomgraph.llm.language_id import held_out, identify
-from loomgraph.llm.piece_codec import decode, encode
+from loomgraph.llm.piece_codec import encode_and_decode
 from loomgraph.session import materialize, tune
 
 
@@ -38,9 +37,12 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in no language: a null text, or one without any letter."""
+    """Drop documents in no language: a null text, or one without any letter.
+
+    Where no row says its language nothing can be learnt; then, too, texts with letters stay.
+    """
     found = identify(docs, docs.where(~held_out(5, 0)).select("text", "lang"))
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    return found.where((F.col("lang_pred") != "und") | F.rlike("text", F.lit(r"\p{L}"))).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +67,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the ids, their number, and the digest of the text they decode to."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    return (decode(encode(docs, model), model)
+    import public_tokenizers
+    return (encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
             .withColumn("n_tokens", F.size("ids").cast("long"))
             .withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded"))
 

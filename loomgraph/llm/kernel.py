@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +84,17 @@ def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[Texts]:
         first = last
 
 
+def row_slices(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(ends):
+        taken = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, taken + limit, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def byte_table(separators) -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(separators)] = True

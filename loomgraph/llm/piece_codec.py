@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.kernel import worker_state
+from loomgraph.llm.kernel import row_slices, worker_state
 
 #: Entries of the word and pair caches; a full cache is emptied, results do not depend on it.
 CACHE = 1 << 20
@@ -45,7 +47,11 @@ class PieceTable:
         self.words: dict[str, tuple[int, ...]] = {}
         self.automaton = ahocorasick.Automaton()
         # characters a longer piece uses take part even where they are no piece themselves
-        chars = sorted({c for p in self.rank for c in p})
+        self.chars = {c for p in self.rank for c in p}
+        chars = sorted(self.chars)
+        count = Counter(self.score.values())
+        #: pieces of one score (runs of blanks): among them the place decides, not the age
+        self.tied = {p for p, s in self.score.items() if count[s] > 1 and len(p) > 1}
         longer = sorted((p for p in self.rank if len(p) > 1), key=lambda p: -self.score[p])
         #: when a piece comes into being (characters first), and its two halves
         self.born = {p: i for i, p in enumerate([*chars, *longer])}
@@ -78,7 +84,10 @@ class PieceTable:
         if known is None:
             if len(self.pairs) >= CACHE:
                 self.pairs.clear()
-            known = self.pairs[pair] = self._stays_apart(left, right)
+            both = left + right
+            tied = any(both[i:j] in self.tied for i in range(len(both)) for j in range(i + 2, len(both) + 1))
+            known = self.pairs[pair] = (self.merged(both) == [left, right] if tied
+                                        else self._stays_apart(left, right))
         return known
 
     def _stays_apart(self, left: str, right: str) -> bool:
@@ -110,14 +119,19 @@ class PieceTable:
             at = end + 1
             if last[at] is None:
                 start = at - len(piece)
+                before = last[start]
                 # at the word's front, or behind a character no piece has, nothing can clash
-                before = last[start] if start else None
-                if before is None or self.compatible(before, piece):
+                apart = start == 0 or before is None and word[start - 1] not in self.chars
+                if apart or before is not None and self.compatible(before, piece):
                     last[at] = piece
         out: list[int] = []
         at = len(word)
         while at:
-            piece = last[at] or word[at - 1]
+            piece = last[at]
+            if piece is None:
+                piece = word[at - 1]
+                if piece in self.chars:
+                    raise ValueError(f"no last token for a prefix of {word!r}")
             at -= len(piece)
             known = self.rank.get(piece)
             if known is not None:
@@ -150,6 +164,11 @@ def _columns(docs: DataFrame, *names: str) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.drop(*names).schema)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with ``ids`` (array of int) in place of any such column.
 
@@ -161,9 +180,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         table = _table(model)
         for batch in batches:
-            ids = [table.encode(t or "") for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))],
-                                             [*batch.schema.names, "ids"])
+            for part in row_slices(batch):
+                ids = [np.array(table.encode(t.as_py() or ""), np.int32) for t in part["text"]]
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], [*part.schema.names, "ids"])
 
     return docs.mapInArrow(run, _columns(docs) + "ids array<int>")
 
@@ -175,21 +194,41 @@ def decode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         table = _table(model)
         for batch in batches:
-            texts = [table.sp.decode(ids or []) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*batch.schema.names, "decoded"])
+            for part in row_slices(batch):
+                texts = [table.sp.decode(ids.as_py() or []) for ids in part["ids"]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
+                                                 [*part.schema.names, "decoded"])
 
     return docs.mapInArrow(run, _columns(docs) + "decoded string")
 
 
+def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
+    """``decode(encode(docs, model), model)`` in one pass; about a megabyte of text is held at once."""
+    docs = docs.drop("ids", "decoded")
+
+    def run(batches):
+        table = _table(model)
+        for batch in batches:
+            for part in row_slices(batch):
+                ids, texts = [], []
+                for text in part["text"]:
+                    found = table.encode(text.as_py() or "")
+                    texts.append(table.sp.decode(found))
+                    ids.append(np.array(found, np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), pa.array(texts, pa.string())],
+                                                 [*part.schema.names, "ids", "decoded"])
+
+    return docs.mapInArrow(run, _columns(docs) + "ids array<int>, decoded string")
+
+
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass."""
     def run(batches):
         table = _table(model)
         for batch in batches:
             out = []
-            for text in batch["text"].to_pylist():
-                ids = table.encode(text or "")
+            for text in batch["text"]:
+                ids = table.encode(text.as_py() or "")
                 out.append((len(ids),
                             hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
                             hashlib.sha256(table.sp.decode(ids).encode()).hexdigest()))

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import bloom_lm, quality_rules, token_store
@@ -38,6 +37,12 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file; asked for only where a query needs it."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -105,7 +110,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_piece_codec")
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
-    return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 @query("op1_quality_rules")
@@ -122,7 +127,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as compressed blocks and read back."""
     docs = read(spark, sf_dir, "documents")
     return token_store.ids_crc32(token_store.round_trip(
-        docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+        docs, vocabulary("word_bpe_49k.json"), end_id=2))
 
 
 @query("op10_license_rules")
