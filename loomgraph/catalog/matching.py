@@ -204,6 +204,62 @@ def topk_neighbours(spark, sf):
                        F.col("rank").cast("bigint").alias("rank"))
 
 
+_MANY_CELLS = f"""
+    WITH v AS (SELECT vec_id, {{to_vec}} AS embedding FROM {{embeddings}}),
+    near AS (SELECT vec_id + 1000000 AS vec_id,
+                    list_transform(embedding, lambda x, i: x + CASE WHEN i = 1 THEN 0.001 ELSE 0.0 END) AS embedding
+             FROM v WHERE vec_id % 3 = 0),
+    rows AS (SELECT * FROM v UNION ALL SELECT * FROM near),
+    ranked AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, round({_sim('q', 'c')}, 12) AS sim,
+                      row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_sim('q', 'c')}, 12) DESC, c.vec_id) AS rank
+               FROM rows q JOIN rows c ON q.vec_id <> c.vec_id)
+    SELECT query_id, cand_id, round(sim, 6) AS similarity, rank FROM ranked WHERE rank <= LIMIT_K"""
+
+
+def _many_cells(spark, sf, k: int):
+    """Each vector and shifted copies of a third of them, in cells of 40 candidates."""
+    rows = run(spark, sf, "SELECT vec_id, {to_vec} AS embedding FROM {embeddings}")
+    near = rows.where("vec_id % 3 = 0").select(
+        (F.col("vec_id") + 1_000_000).alias("vec_id"),
+        F.transform("embedding", lambda x, i: x + F.when(i == 0, 0.001).otherwise(0.0)).alias("embedding"))
+    both = rows.unionByName(near)
+    found = nn.top_k(both.withColumnRenamed("vec_id", "query_id"), both.withColumnRenamed("vec_id", "cand_id"),
+                     k=k, block_rows=40)
+    return found.select("query_id", "cand_id", F.round("similarity", 6).alias("similarity"),
+                        F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("topk_many_cells", _MANY_CELLS.replace("LIMIT_K", "5"))
+def topk_many_cells(spark, sf):
+    return _many_cells(spark, sf, 5)
+
+
+@query("top1_many_cells", _MANY_CELLS.replace("LIMIT_K", "1"))
+def top1_many_cells(spark, sf):
+    return _many_cells(spark, sf, 1)
+
+
+@query("nearest_bad_vectors", f"""
+    WITH v AS (SELECT vec_id, label, {{to_vec}} AS embedding FROM {{embeddings}} WHERE label NOT IN (0, 1, 2, 3)),
+    ranked AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, round({_sim('q', 'c')}, 12) AS sim,
+                      row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_sim('q', 'c')}, 12) DESC, c.vec_id) AS rank
+               FROM v q JOIN v c ON q.vec_id <> c.vec_id)
+    SELECT query_id, cand_id, round(sim, 6) AS similarity, rank FROM ranked WHERE rank <= 3""")
+def nearest_bad_vectors(spark, sf):
+    """Vectors with NaN, infinite or null elements, and empty ones, are skipped and hide nothing."""
+    rows = run(spark, sf, "SELECT vec_id, label, {to_vec} AS embedding FROM {embeddings}")
+    spoilt = {0: F.lit(float("nan")), 1: F.lit(float("inf")), 2: F.lit(None).cast("double")}
+    value = F.when(F.col("label") == 0, spoilt[0]).when(F.col("label") == 1, spoilt[1]).otherwise(spoilt[2])
+    bad = F.when(F.col("label").isin(*spoilt), F.transform(
+        "embedding", lambda x, i: F.when(i == 1, value).otherwise(x))).otherwise(F.col("embedding"))
+    bad = F.when(F.col("label") == 3, F.array().cast("array<double>")).otherwise(bad)
+    rows = rows.select("vec_id", bad.alias("embedding"))
+    near = nn.top_k(rows.withColumnRenamed("vec_id", "query_id"), rows.withColumnRenamed("vec_id", "cand_id"),
+                    k=3, block_rows=64)
+    return near.select("query_id", "cand_id", F.round("similarity", 6).alias("similarity"),
+                       F.col("rank").cast("bigint").alias("rank"))
+
+
 _RESOLVED = f"""
     SELECT s.step_id, s.text,
            CASE WHEN f.definition_id IS NOT NULL THEN 'REUSE'

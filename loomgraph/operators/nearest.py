@@ -1,10 +1,16 @@
 """Exact nearest neighbours by cosine, for a whole table of queries at once.
 
-Candidates are placed in cells around a few pivots (candidates themselves).  Angles obey the
-triangle inequality, so a query only has to visit a cell when its angle to the pivot, less the
-cell's radius, is within the bound on its k-th best angle.  A cell and its visitors are cut into blocks of bounded
-size; one block pair is one matrix product that keeps the k best candidates per query, so neither
-pairs nor a large group ever exist, and nothing but the pivots goes through the driver.
+Candidates sit in a tree of pivots (candidates themselves) with two levels, each about the square
+root of the number of cells: every candidate goes to its nearest upper pivot, and among that one's
+lower pivots to the nearest again.  Angles obey the triangle inequality, so a cell cannot hold
+anything nearer to a query than the angle to its pivot less the cell's radius.
+
+Queries go down in rounds.  In the first each visits only the cell of its nearest pivots; the k-th best
+found there bounds the rest.  The cells within that bound are put in order, nearest first, and visited
+in rounds that grow; after each round the bound has shrunk, and the cells beyond it are never visited.
+A cell and its visitors are cut into blocks of bounded size; one block pair is one matrix product
+that keeps the k best candidates per query, so neither pairs nor a large group ever exist.  Only the
+upper pivots go through the driver: the square root of the number of blocks.
 """
 from __future__ import annotations
 
@@ -19,7 +25,10 @@ from pyspark.sql import functions as F
 from loomgraph.session import materialize
 
 BLOCK_ROWS = 4096
-MAX_PIVOTS = 256
+# lower pivots of one upper pivot at most; a crowded cell has wider cells below it, not more of them
+SUB_PIVOTS = 1024
+# cells a query visits in the second round, and how that number grows from round to round
+FIRST_CELLS, GROWTH = 2, 4
 # similarities are compared at this many digits, so that equal vectors tie in every block
 DIGITS = 12
 # radians by which a bound on angles is widened: rounding a cosine to DIGITS moves an angle near 0 by
@@ -54,11 +63,13 @@ def _angles(vectors: pd.Series, pivots: pd.Series) -> np.ndarray:
     return np.arccos(_scores(vectors, pivots))
 
 
-def _placer(pivots: pd.Series):
-    """Give each candidate the cell of its nearest pivot and its angle to it."""
+def _placer(pivots: pd.Series, among: np.ndarray | None = None):
+    """Give each vector its nearest pivot (of those in ``among``) and its angle to it."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             angles = _angles(pdf["embedding"], pivots)
+            if among is not None:
+                angles = np.where(among, angles, np.inf)
             cell = angles.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(pdf)), cell])
     return place
@@ -66,7 +77,10 @@ def _placer(pivots: pd.Series):
 
 def _visitor(pivot_ids: list, pivots: pd.Series, sizes: np.ndarray, radii: np.ndarray, k: int,
              exclude_self: bool):
-    """Give each query the cells that can hold one of its k best candidates."""
+    """Give each query the cells that can hold one of its k best candidates.
+
+    A column ``bound`` is an angle within which k candidates are known already.
+    """
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             angles = _angles(pdf["embedding"], pivots)
@@ -78,6 +92,8 @@ def _visitor(pivot_ids: list, pivots: pd.Series, sizes: np.ndarray, radii: np.nd
             bound = np.full(len(pdf), np.inf)
             if len(pivot_ids) >= k:
                 bound = np.partition(known, k - 1, axis=1)[:, k - 1]
+            if "bound" in pdf:
+                bound = np.fmin(bound, pdf["bound"].to_numpy(dtype=float))
             far = angles + radii
             order = far.argsort(axis=1)
             enough = np.cumsum(sizes[order], axis=1) >= k + int(exclude_self)
@@ -121,63 +137,183 @@ def _kernel(k: int, exclude_self: bool):
     return best_of_block
 
 
-def _per_cell(values: list[int]) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values or [0]]), F.col("cell"))
-
-
 def _usable(vector: str = "embedding") -> Column:
     """The vector has elements, all of them finite numbers."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return (F.size(vector) > 0) & ~bad
 
 
+def _at(values, index: str) -> Column:
+    """The entry of a short list (one per upper pivot) a column points at."""
+    return F.get(F.array(*[F.lit(int(v)) for v in values]), F.col(index))
+
+
+class PivotTree:
+    """Candidates (cand_id, embedding) in cells of two levels.
+
+    ``placed``: cand_id, embedding, cell.  ``cells``: upper, cell, pivot, n, radius.
+    """
+
+    def __init__(self, candidates: DataFrame, block_rows: int):
+        self.block_rows = block_rows
+        types = dict(candidates.dtypes)
+        self.id_type = types["cand_id"]
+        blocks = math.ceil(candidates.count() / block_rows)
+        # the square root of the number of blocks: bounded, whatever the table
+        upper = candidates.orderBy(F.xxhash64("cand_id")).limit(math.ceil(math.sqrt(blocks))).toPandas()
+        self.upper_ids, self.upper = upper["cand_id"].tolist(), upper["embedding"]
+        n = len(upper)
+        self.sizes, self.radii = np.zeros(n), np.zeros(n)
+        if not n:
+            return
+        columns = f"cand_id {self.id_type}, embedding array<double>"
+        top = materialize(candidates.mapInPandas(_placer(self.upper), f"{columns}, cell int, angle double")
+                          .withColumnRenamed("cell", "upper"), "placed-upper")
+        for row in top.groupBy("upper").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
+            self.sizes[row.upper], self.radii[row.upper] = row.n, row.r
+        # a share of each upper cell's candidates, by hash, and its own pivot
+        shares = [max(block_rows, math.ceil(s / SUB_PIVOTS)) for s in self.sizes]
+        drawn = F.pmod(F.xxhash64("cand_id", F.lit("pivot")), _at(shares, "upper")) == 0
+        first = F.row_number().over(Window.partitionBy("upper").orderBy("angle", "cand_id"))
+        nearest = top.select("upper", "cand_id", "angle").withColumn("_n", first).where("_n = 1").select("cand_id")
+        pivots = (top.where(drawn).unionByName(top.join(nearest, "cand_id", "left_semi"))
+                  .dropDuplicates(["cand_id"]))
+        order = Window.partitionBy("upper").orderBy("cand_id")  # about SUB_PIVOTS rows at most
+        pivots = materialize(pivots.select("upper", F.row_number().over(order).cast("int").alias("lower"),
+                                           F.col("embedding").alias("pivot")), "pivots")
+        placed = self._meet(top.select("upper", "cand_id", "embedding"), "cand_id", pivots, self.sizes, _lower_cell,
+                            f"{columns}, cell long, angle double")
+        self.placed = materialize(placed, "placed")
+        found = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+        named = pivots.select("upper", (F.col("upper") * F.lit(1 << 32) + F.col("lower")).alias("cell"), "lower", "pivot")
+        self.cells = materialize(named.join(found, "cell"), "cells")
+
+    def _meet(self, rows: DataFrame, key: str, pivots: DataFrame, counts, kernel, schema: str) -> DataFrame:
+        """Rows with an upper cell meet the pivots below it, a block of rows at a time."""
+        slices = [max(1, math.ceil(c / self.block_rows)) for c in counts]
+        left = rows.withColumn("slice", F.pmod(F.xxhash64(key), _at(slices, "upper")).cast("int"))
+        right = pivots.withColumn("slice", F.explode(F.sequence(F.lit(0), _at(slices, "upper") - 1)))
+        by = ["upper", "slice"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(kernel, schema)
+
+    def nearest_cell(self, queries: DataFrame) -> DataFrame:
+        """(query_id, embedding, cell): the cell of the nearest pivot below the nearest upper pivot."""
+        columns = f"query_id {dict(queries.dtypes)['query_id']}, embedding array<double>"
+        top = materialize(queries.mapInPandas(_placer(self.upper, self.sizes > 0), f"{columns}, cell int, angle double")
+                          .withColumnRenamed("cell", "upper").drop("angle"), "query-upper")
+        counts = np.zeros(len(self.sizes))
+        for row in top.groupBy("upper").count().collect():
+            counts[row["upper"]] = row["count"]
+        return self._meet(top, "query_id", self.cells, counts, _lower_cell,
+                          f"{columns}, cell long, angle double").drop("angle")
+
+    def within(self, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(query_id, cell, low) of the cells that can hold something within each query's ``bound``."""
+        id_type = dict(queries.dtypes)["query_id"]
+        top = materialize(queries.mapInPandas(
+            _visitor(self.upper_ids, self.upper, self.sizes, self.radii, k, exclude_self),
+            f"query_id {id_type}, embedding array<double>, bound double, cells array<int>")
+            .select("query_id", "embedding", "bound", F.explode("cells").alias("upper")), "query-uppers")
+        counts = np.zeros(len(self.sizes))
+        for row in top.groupBy("upper").count().collect():
+            counts[row["upper"]] = row["count"]
+        return self._meet(top, "query_id", self.cells, counts, _low_cells, f"query_id {id_type}, cell long, low double")
+
+    def visit(self, visits: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(query_id, cand_id, similarity): the k best of each visited cell, for (query_id, embedding, cell)."""
+        visitors = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("visitors"))
+        rows = F.lit(self.block_rows)
+        cuts = self.cells.select("cell", "n").join(visitors, "cell").select(
+            "cell", F.ceil(F.col("n") / rows).cast("int").alias("n_cb"), F.ceil(F.col("visitors") / rows).cast("int").alias("n_qb"))
+        left = (visits.join(cuts, "cell")
+                .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_cb") - 1)))
+                .withColumn("qb", F.pmod(F.xxhash64("query_id"), "n_qb").cast("int"))
+                .select("cell", "cb", "qb", "query_id", "embedding"))
+        right = (self.placed.join(cuts, "cell")
+                 .withColumn("cb", F.pmod(F.xxhash64("cand_id"), "n_cb").cast("int"))
+                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)))
+                 .select("cell", "cb", "qb", "cand_id", "embedding"))
+        block = ["cell", "cb", "qb"]
+        id_type = dict(visits.dtypes)["query_id"]
+        return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(
+            _kernel(k, exclude_self), f"query_id {id_type}, cand_id {self.id_type}, similarity double")
+
+
+def _cell_ids(pivots: pd.DataFrame) -> np.ndarray:
+    return pivots["upper"].to_numpy().astype("int64") * (1 << 32) + pivots["lower"].to_numpy()
+
+
+def _lower_cell(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.drop(columns=["upper", "slice"])
+    if rows.empty or pivots.empty:
+        return rows.iloc[:0].assign(cell=np.zeros(0, "int64"), angle=np.zeros(0))
+    angles = _angles(rows["embedding"], pivots["pivot"])
+    at = angles.argmin(axis=1)
+    return rows.assign(cell=_cell_ids(pivots)[at], angle=angles[np.arange(len(rows)), at])
+
+
+def _low_cells(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    if rows.empty or cells.empty:
+        return pd.DataFrame({"query_id": [], "cell": [], "low": []})
+    low = _angles(rows["embedding"], cells["pivot"]) - cells["radius"].to_numpy()
+    at, cell = np.nonzero(low <= rows["bound"].to_numpy()[:, None] + SLACK)
+    return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[at], "cell": _cell_ids(cells)[cell],
+                         "low": low[at, cell]})
+
+
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _with_bound(queries: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """Queries with the angle of their k-th best candidate so far; beyond every angle without one."""
+    kth = best.where(F.col("rank") == k).select("query_id", F.acos("similarity").alias("_kth"))
+    return queries.join(kth, "query_id", "left").withColumn("bound", F.coalesce("_kth", F.lit(4.0))).drop("_kth")
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 1, exclude_self: bool = True,
-          block_rows: int = BLOCK_ROWS) -> DataFrame:
+          block_rows: int = BLOCK_ROWS, visited: list[int] | None = None) -> DataFrame:
     """(query_id, cand_id, similarity, rank) of the k best candidates per query.
 
     ``queries``: query_id, embedding; ``candidates``: cand_id, embedding.  Rows without a vector, or
     with a null, NaN or infinite element in it, are skipped; a similarity of exactly -1 is never chosen; ties go to the lower cand_id.
+    ``visited``, if given, takes the number of (query, cell) visits of each round.
     """
-    q = queries.select("query_id", "embedding").where(_usable())
-    c = materialize(candidates.select("cand_id", "embedding").where(_usable()),
-                    "candidates")
-    id_type = {f.name: f.dataType.simpleString() for f in q.schema.fields + c.schema.fields}
-    q_cols = f"query_id {id_type['query_id']}, embedding array<double>"
-    c_cols = f"cand_id {id_type['cand_id']}, embedding array<double>"
-
-    n_pivots = min(MAX_PIVOTS, math.ceil(c.count() / block_rows))
-    pivots = c.orderBy(F.xxhash64("cand_id")).limit(n_pivots).toPandas()  # at most MAX_PIVOTS rows
-    n_pivots = len(pivots)
-    vectors = pivots["embedding"]
-    # written once, as it is summed up and then shuffled
-    placed = materialize(c.mapInPandas(_placer(vectors), f"{c_cols}, cell int, angle double"),
-                         "placed")
-    sizes, radii = np.zeros(n_pivots), np.zeros(n_pivots)
-    for row in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
-        sizes[row.cell], radii[row.cell] = row.n, row.r
-    # written once, as it is counted and then shuffled
-    visits = materialize(
-        q.mapInPandas(_visitor(pivots["cand_id"].tolist(), vectors, sizes, radii, k, exclude_self),
-                      f"{q_cols}, cells array<int>"), "visits") if n_pivots else (
-        q.withColumn("cells", F.array().cast("array<int>")))
-    visits = visits.select("query_id", "embedding", F.explode("cells").alias("cell"))
-    seen = np.zeros(n_pivots)
-    for row in visits.groupBy("cell").count().collect():
-        seen[row["cell"]] = row["count"]
-    c_blocks = _per_cell([math.ceil(n / block_rows) for n in sizes])
-    q_blocks = _per_cell([math.ceil(n / block_rows) for n in seen])
-
-    left = (visits.withColumn("cb", F.explode(F.sequence(F.lit(0), c_blocks - 1)))
-            .withColumn("qb", F.pmod(F.xxhash64("query_id"), q_blocks).cast("int")))
-    right = (placed.drop("angle").where(q_blocks > 0)
-             .withColumn("cb", F.pmod(F.xxhash64("cand_id"), c_blocks).cast("int"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), q_blocks - 1))))
-    block = ["cell", "cb", "qb"]
-    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(
-        _kernel(k, exclude_self), f"query_id {id_type['query_id']}, cand_id {id_type['cand_id']}, "
-                                  "similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    q = materialize(queries.select("query_id", "embedding").where(_usable()), "queries")
+    c = materialize(candidates.select("cand_id", "embedding").where(_usable()), "candidates")
+    q, c = (t.withColumn("embedding", F.col("embedding").cast("array<double>")) for t in (q, c))
+    tree = PivotTree(c, block_rows)
+    if not len(tree.sizes):
+        return q.sparkSession.createDataFrame(
+            [], f"query_id {dict(q.dtypes)['query_id']}, cand_id {tree.id_type}, similarity double, rank int")
+
+    def note(visits: DataFrame) -> None:
+        if visited is not None:
+            visited.append(visits.count())
+
+    first = materialize(tree.nearest_cell(q), "visits")
+    note(first)
+    best = materialize(_k_best(tree.visit(first, k, exclude_self), k), "best")
+    if tree.cells.limit(2).count() < 2:
+        return best
+    later = tree.within(_with_bound(q, best, k), k, exclude_self).join(
+        first.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
+    in_order = Window.partitionBy("query_id").orderBy("low", "cell")
+    agenda = materialize(later.withColumn("place", F.row_number().over(in_order)), "agenda")
+    done, width = 0, FIRST_CELLS
+    while True:
+        turn = agenda.where((F.col("place") > done) & (F.col("place") <= done + width))
+        # cells come nearest first: a query without a visit in this round needs none later either
+        visits = materialize(turn.join(_with_bound(q, best, k), "query_id")
+                             .where(F.col("low") <= F.col("bound") + SLACK)
+                             .select("query_id", "embedding", "cell"), "visits")
+        if visits.isEmpty():
+            return best
+        note(visits)
+        found = tree.visit(visits, k, exclude_self)
+        best = materialize(_k_best(best.drop("rank").unionByName(found), k), "best")
+        done, width = done + width, width * GROWTH
 
 
 def nearest_verified(queries: DataFrame, stories: DataFrame, k: int = 1,

@@ -147,6 +147,33 @@ def test_far_cells_are_not_visited():
     assert [list(x) for x in next(visit(iter([near])))["cells"]] == [[3]]
 
 
+def test_visits_fall_with_the_bound(spark):
+    """Clusters: each query meets its own cells and not the rest; the result is the plain one."""
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((12, 8)) * 3
+    vectors = [(i, (centres[i % 12] + rng.standard_normal(8) * 0.05).tolist()) for i in range(600)]
+    q = spark.createDataFrame(vectors[:200], "query_id int, embedding array<double>")
+    c = spark.createDataFrame(vectors, "cand_id int, embedding array<double>")
+    visited = []
+    found = nn.top_k(q, c, 3, True, 10, visited).collect()
+    want = {w for w in brute_force(vectors, 3, True) if w[0] < 200}
+    assert {(r.query_id, r.cand_id, round(r.similarity, 9), r["rank"]) for r in found} == want
+    cells = 600 // 10
+    assert visited[0] == 200 and sum(visited) < 200 * cells / 4
+
+
+def test_shrinking_bound_prunes_later_rounds(spark):
+    """Evenly spread vectors: far fewer cells are visited than the first bound would have asked for."""
+    angles = np.linspace(0, np.pi / 2, 500)
+    vectors = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)]
+    q = spark.createDataFrame(vectors, "query_id int, embedding array<double>")
+    c = spark.createDataFrame(vectors, "cand_id int, embedding array<double>")
+    visited = []
+    found = nn.top_k(q, c, 1, True, 5, visited).collect()
+    assert len(found) == 500 and all(abs(r.query_id - r.cand_id) == 1 for r in found)
+    assert sum(visited) < 500 * 8
+
+
 def test_no_candidates(spark):
     q = spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>")
     c = spark.createDataFrame([], "cand_id string, embedding array<double>")
