@@ -1,14 +1,16 @@
 """First-match regex binding, reuse coverage and the step resolution cascade.
 
-A regex join compares every text with every definition.  Here each definition is blocked on the
-rarest literal piece its matches must contain, so that an equi join finds the candidates and the
-regex only runs on those.  Definitions without such a piece go through the block grid, which is
-exact too and keeps every task bounded.
+A regex join compares every text with every definition.  Here the literal pieces that a definition's
+matches must contain are looked up in postings (piece, key of a text): the list of its rarest piece,
+intersected with those of the next ones.  Postings and candidates are numbers and pieces only; a text
+is fetched by its key for the candidates that are left, and the regex only runs on those.
+Definitions without such a piece go through the block grid, which is exact too and keeps every task
+bounded.
 """
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,7 @@ from loomgraph.session import materialize, spread
 
 ORDER = ("definition_id",)
 MIN_SIMILARITY = 0.6  # fixed value: least similarity of a close match
+LISTS = 3  # postings intersected for one definition at most; the regex decides in the end
 
 
 def vet_patterns(defs: DataFrame) -> DataFrame:
@@ -69,29 +72,50 @@ def first_match(texts: DataFrame, defs: DataFrame, anchor: str = "none", normali
     clean = normalise_step(F.col("text")) if normalise else F.lit(None).cast("string")
     plain = materialize(
         texts.select("text").where("text IS NOT NULL").dropDuplicates()
-        .withColumn("clean", clean), "distinct_texts")
+        .select(F.monotonically_increasing_id().alias("key"), "text", clean.alias("clean")), "distinct_texts")
 
     blockable = vetted.where(F.size("grams") > 0)
-    pieces = spread(plain).select("text", "clean", F.explode(patterns.text_grams(F.col("text"))).alias("gram"))
-    wanted = blockable.select("definition_id", F.explode("grams").alias("gram"))
-    counts = (pieces.select("gram").join(wanted.select("gram").dropDuplicates(), "gram", "left_semi")
-              .groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-    # a required piece that no text has rules the definition out: the inner join drops the piece,
-    # so only a definition with all its pieces present may stay
-    chosen = (wanted.join(counts, "gram", "left").groupBy("definition_id")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
-              .where("best.n > 0").select("definition_id", F.col("best.gram").alias("gram")))
-    blocks = blockable.drop("grams").join(chosen, "definition_id")
-    matched = (pieces.join(blocks, "gram")
-               .where(_residual(anchor)("expression", "text", "clean"))
-               .groupBy("text").agg(F.min("rank").alias("rank")))
+    found = candidates(postings(plain, blockable), blockable)
+    tried = (found.join(blockable.select("definition_id", "expression", "rank"), "definition_id")
+             .join(plain, "key").where(_residual(anchor)("expression", "text", "clean")))
+    matched = tried.groupBy("key").agg(F.min("rank").alias("rank"))
 
     unblocked = vetted.where(F.size("grams") == 0).drop("grams")
     n_unblocked = unblocked.count()
     if n_unblocked:
         rest = _grid_match(plain, unblocked, anchor, n_unblocked, block_rows)
-        matched = (matched.unionByName(rest).groupBy("text").agg(F.min("rank").alias("rank")))
-    return matched.select("text", F.col("rank.definition_id").alias("definition_id"))
+        matched = (matched.unionByName(rest).groupBy("key").agg(F.min("rank").alias("rank")))
+    return plain.select("key", "text").join(matched, "key").select(
+        "text", F.col("rank.definition_id").alias("definition_id"))
+
+
+def postings(plain: DataFrame, blockable: DataFrame) -> DataFrame:
+    """(gram, key), stored: which texts (key, text) hold the pieces that some definition needs."""
+    wanted = blockable.select(F.explode("grams").alias("gram")).dropDuplicates()
+    held = spread(plain.select("key", "text")).select(F.explode(patterns.text_grams(F.col("text"))).alias("gram"), "key")
+    return materialize(held.join(wanted, "gram", "left_semi"), "postings")
+
+
+def candidates(index: DataFrame, blockable: DataFrame) -> DataFrame:
+    """(definition_id, key): texts that hold the rarest pieces of a definition, up to ``LISTS`` of them.
+
+    A piece that no text holds rules its definitions out.
+    """
+    lengths = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    needs = (blockable.select("definition_id", F.explode("grams").alias("gram"))
+             .join(lengths, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
+    # a definition has at most as many pieces as its expression has characters
+    lists = (needs.groupBy("definition_id").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("lists"))
+             .where(F.col("lists")[0]["n"] > 0))
+    lists = materialize(lists.select("definition_id", *[
+        F.get("lists", F.lit(i))["gram"].alias(f"gram{i}") for i in range(LISTS)]), "posting-lists")
+    found = index.join(lists.withColumnRenamed("gram0", "gram"), "gram").drop("gram")
+    for i in range(1, LISTS):
+        # piece and key together: no list is ever in one task as a whole
+        more = index.select(F.col("gram").alias(f"gram{i}"), "key", F.lit(True).alias("_held"))
+        found = (found.join(more, [f"gram{i}", "key"], "left")
+                 .where(F.col("_held") | F.col(f"gram{i}").isNull()).drop("_held", f"gram{i}"))
+    return found.select("definition_id", "key")
 
 
 def _grid_match(plain: DataFrame, defs: DataFrame, anchor: str, n_defs: int, block_rows: int):
@@ -105,15 +129,15 @@ def _grid_match(plain: DataFrame, defs: DataFrame, anchor: str, n_defs: int, blo
         tries = [(d, patterns.finder(e, anchor))
                  for d, e in zip(ordered["definition_id"], ordered["expression"])]
         out = []
-        for text, clean in zip(left["text"], left["clean"]):
+        for key, text, clean in zip(left["key"], left["text"], left["clean"]):
             first = next((d for d, find in tries if patterns.hits(find, text, clean)), None)
             if first is not None:
-                out.append((text, first))
-        return pd.DataFrame(out, columns=["text", "definition_id"])
+                out.append((key, first))
+        return pd.DataFrame(out, columns=["key", "definition_id"])
 
-    found = grid_apply(plain, flat, "text", "definition_id", kernel,
-                       "text string, definition_id string", plain.count(), n_defs, block_rows)
-    return found.join(defs.select("definition_id", "rank"), "definition_id").select("text", "rank")
+    found = grid_apply(plain, flat, "key", "definition_id", kernel,
+                       "key long, definition_id string", plain.count(), n_defs, block_rows)
+    return found.join(defs.select("definition_id", "rank"), "definition_id").select("key", "rank")
 
 
 def bind(steps: DataFrame, defs: DataFrame, anchor: str = "none", normalise: bool = False,

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomgraph.functions.patterns import GRAM, required_grams
 from loomgraph.operators import match as m
@@ -49,6 +50,41 @@ def test_first_match_equals_plain_loop(spark, anchor, normalise, patterns):
     assert {r.text: r.definition_id for r in found.collect()} == expected(patterns, anchor, normalise)
 
 
+def test_postings_carry_no_text(spark):
+    """Broadcasts off: what meets on a piece is keys; texts only come for the candidates that are left."""
+    plain = m.materialize(spark.createDataFrame(list(enumerate(TEXTS)), "key long, text string"), "texts")
+    blockable = m.prepare_definitions(defs(spark, PATTERNS[:13])).where(F.size("grams") > 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = m.postings(plain, blockable)
+        found = m.candidates(index, blockable)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert index.columns == ["gram", "key"] and "text" not in plan and "expression" not in plan
+        # the three rarest pieces of each definition are all held
+        pieces = {r.definition_id: r.grams for r in blockable.collect()}
+        pairs = {(r.definition_id, r.key) for r in found.collect()}
+        for d, grams in pieces.items():
+            whole = {(d, i) for i, t in enumerate(TEXTS) if all(g in t for g in grams)}
+            some = {(d, i) for i, t in enumerate(TEXTS) if any(g in t for g in grams)}
+            mine = {p for p in pairs if p[0] == d}
+            assert whole <= mine <= some
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_long_texts_and_crowded_pieces(spark):
+    """Texts of 20,000 characters, and a piece that all texts share."""
+    filler = "".join(chr(97 + i * i % 23) for i in range(20_000))
+    texts = [f"{filler} order {i} is paid" for i in range(40)] + ["order 7 is paid", filler]
+    expressions = [r"order 7 is paid$", r"order 1\d is paid", r"order \d+ is paid", r"never written"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: r.definition_id for r in m.first_match(table, defs(spark, expressions)).collect()}
+    want = {t: next(f"d{i:02d}" for i, e in enumerate(expressions) if re.search(e, t))
+            for t in texts if " is paid" in t}
+    assert got == want
+
+
 @settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.sampled_from(PATTERNS), st.text("abcde $5xthe initalbce", max_size=40))
 def test_grams_are_required(expression, text):
