@@ -51,16 +51,25 @@ def monitor_calls(spark, sf):
     return mon.call_violations(load(spark, sf, "v_action"))
 
 
-@query("monitor_loops", """
+_LOOPS = """
     SELECT run_id, agent_name, seq,
            count(*) OVER w = 3 AND min(response) OVER w = max(response) OVER w AS looping
     FROM {v_action} a
-    WINDOW w AS (PARTITION BY run_id, agent_name ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+    WINDOW w AS (PARTITION BY run_id, agent_name ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
+
+
+@query("monitor_loops", _LOOPS)
 def monitor_loops(spark, sf):
     """All actions, judged in day slices so that no run has to fit one task."""
     return mon.loop_flags(load(spark, sf, "v_action"), slice_width=DAY)
 
 
+@query("monitor_loops_counted", _LOOPS)
+def monitor_loops_counted(spark, sf):
+    """All actions, judged by a scan over slices of equal numbers of rows."""
+    return mon.loop_flags(load(spark, sf, "v_action"))
+
+
 @query("monitor_drift", f"""
     SELECT run_id, seq, round({_COS}, 6) AS similarity, {_COS} < 0.45 AS drifting
     FROM {{v_vec_action}} a""")
@@ -111,22 +120,41 @@ _ROLLUP = """
     FROM {v_attempt} a WHERE attempt <= 5 GROUP BY run_id"""
 
 
-def _attempts(spark, sf):
+_ROLLUP_ALL = _ROLLUP.replace("WHERE attempt <= 5 ", "")
+
+
+def _attempts(spark, sf, max_attempts=None):
     rows = load(spark, sf, "v_attempt")
-    return ev.attempt_rollup(rows.withColumn("attempt", F.col("attempt").cast("bigint")))
+    return ev.attempt_rollup(rows.withColumn("attempt", F.col("attempt").cast("bigint")), max_attempts)
+
+
+def _runs(spark, sf):
+    return load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.col("c_name").alias("story"), F.col("c_mktsegment").alias("spec"))
 
 
 @query("attempt_rollup", _ROLLUP)
 def attempt_rollup(spark, sf):
+    """Runs under the limit of five attempts."""
+    return _attempts(spark, sf, max_attempts=ev.MAX_ATTEMPTS)
+
+
+@query("attempt_rollup_all", _ROLLUP_ALL)
+def attempt_rollup_all(spark, sf):
     return _attempts(spark, sf)
 
 
-@query("failure_report", f"""
+_REPORT = """
     SELECT run_id, attempts, concat('USER STORY:', chr(10), c_name, chr(10), chr(10), 'DAFNY CODE:',
            chr(10), c_mktsegment, chr(10), chr(10), 'COMPILER OUTPUT:', chr(10), chr(10)) AS report
-    FROM ({_ROLLUP}) r JOIN {{customer}} c ON c.c_custkey = r.run_id WHERE NOT verified""")
+    FROM (ROLLUP) r JOIN {customer} c ON c.c_custkey = r.run_id WHERE NOT verified"""
+
+
+@query("failure_report", _REPORT.replace("ROLLUP", _ROLLUP))
 def failure_report(spark, sf):
-    runs = load(spark, sf, "customer").select(
-        F.col("c_custkey").alias("run_id"), F.col("c_name").alias("story"),
-        F.col("c_mktsegment").alias("spec"))
-    return ev.failure_report(_attempts(spark, sf), runs)
+    return ev.failure_report(_attempts(spark, sf, max_attempts=ev.MAX_ATTEMPTS), _runs(spark, sf))
+
+
+@query("failure_report_all", _REPORT.replace("ROLLUP", _ROLLUP_ALL))
+def failure_report_all(spark, sf):
+    return ev.failure_report(_attempts(spark, sf), _runs(spark, sf))

@@ -405,6 +405,16 @@ def embed_hashing(spark, sf):
     return rows.select("doc_id", F.round(vec.norm(F.col("embedding")), 6).alias("norm"))
 
 
+@query("embed_all", r"""
+    SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[\p{L}\p{M}\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    FROM {documents} d""")
+def embed_all(spark, sf):
+    """Every document has a vector: of length 1, or 0 where its text has no word."""
+    docs = spread(load(spark, sf, "documents")).select("doc_id", "text")
+    rows = embed(docs, "text", dims=256)
+    return rows.select("doc_id", F.round(vec.norm(F.col("embedding")), 6).alias("norm"))
+
+
 @query("ingest_graph", """
     WITH def AS (SELECT p_partkey FROM {part} p),
     step AS (SELECT DISTINCT concat('the ', p_name, ' item ', p_partkey, ' stock is ', p_size) AS text,

@@ -169,9 +169,12 @@ def last_complete(events: DataFrame, author: str) -> DataFrame:
             .agg(F.max_by(F.struct("seq", "value"), "seq").alias("e")).select("run_id", "e.*"))
 
 
-def attempt_rollup(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Per run: attempts made, first successful one, verified flag; later attempts do not count."""
-    rows = attempts.where(F.col("attempt") <= max_attempts)
+def attempt_rollup(attempts: DataFrame, max_attempts: int | None = None) -> DataFrame:
+    """Per run: attempts made, first successful one, verified flag.
+
+    All attempts count; with ``max_attempts`` only those up to it, as a run under that limit made them.
+    """
+    rows = attempts if max_attempts is None else attempts.where(F.col("attempt") <= max_attempts)
     first = F.min(F.when(F.col("success"), F.col("attempt")))
     return rows.groupBy("run_id").agg(
         first.alias("first_success"),

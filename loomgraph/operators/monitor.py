@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.vectors import drift_similarity
+from loomgraph.operators.scan import running, sliced
+from loomgraph.session import materialize
 
 # Default limits and the wording of the reasons.
 LOOP_LIMIT, MAX_CALLS, DRIFT_THRESHOLD = 3, 15, 0.45
@@ -43,13 +45,14 @@ def loop_flags(actions: DataFrame, loop_limit: int = LOOP_LIMIT,
                slice_width: int | None = None) -> DataFrame:
     """Every (run_id, agent_name, seq) with ``looping``: the agent's last N responses are equal.
 
-    ``slice_width`` cuts each run into slices of that many ``seq`` units, so that one very long run
-    is spread over many tasks.  A slice needs the N-1 actions of the same agent before it: the last
+    Streaks of equal responses are counted by a scan over slices of equal numbers of rows, so a run of
+    any length is spread over many tasks, whatever its ``seq`` values.  With ``slice_width`` each run is cut
+    into slices of that many ``seq`` units instead, and nothing is stored.  Such a slice needs the N-1 actions of the same agent before it: the last
     N-1 rows of every slice are handed to the slices they reach into.
     """
     cols = ["run_id", "agent_name", "seq", "response"]
     if slice_width is None:
-        return _loop_window(actions.select(*cols), ["run_id", "agent_name"], loop_limit)
+        return _loop_scan(actions.select(*cols), loop_limit)
     group = ["run_id", "agent_name"]
     cut = actions.select(*cols, F.floor(F.col("seq") / slice_width).alias("_slice"))
     if loop_limit == 1:
@@ -68,6 +71,19 @@ def loop_flags(actions: DataFrame, loop_limit: int = LOOP_LIMIT,
     return _loop_window(both, group + ["_slice"], loop_limit, keep=~F.col("_carried"))
 
 
+def _loop_scan(actions: DataFrame, n: int) -> DataFrame:
+    """How long the streak of equal responses is at each action: its place less that of the last change."""
+    group, order = ["run_id", "agent_name"], ["seq"]
+    # a missing response equals another missing one
+    said = F.struct(F.coalesce("response", F.lit("")), F.col("response").isNull())
+    placed = running(sliced(actions, group, order, "actions"), group, order,
+                     {"_place": ("sum", F.lit(1)), "_before": ("prev", said)})
+    change = F.when(F.col("_before").isNull() | (F.col("_before") != said), F.col("_place"))
+    changes = materialize(placed.withColumn("_change", change).drop("response", "_before"), "streaks")
+    last = running(changes, group, order, {"_from": ("max", F.col("_change"))})
+    return last.select("run_id", "agent_name", "seq", (F.col("_place") - F.col("_from") >= n - 1).alias("looping"))
+
+
 def _loop_window(df: DataFrame, keys: list[str], n: int, keep: Column | None = None) -> DataFrame:
     frame = Window.partitionBy(*keys).orderBy("seq").rowsBetween(-(n - 1), 0)
     # a missing response equals another missing one

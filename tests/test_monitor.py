@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgraph.operators import monitor as mon
+from loomgraph.operators.scan import sliced
 from loomgraph.streaming.monitor import monitor_stream, rocksdb
 
 SCHEMA = "run_id bigint, seq bigint, agent_name string, response string, " \
@@ -115,3 +116,15 @@ def test_stream_over_batches_equals_batch(spark, tmp_path):
     reasons = batch.where("status = 'tripped'").select("run_id", "reason")
     assert sorted(map(tuple, got.where(F.col("reason").isNotNull()).select("run_id", "reason").collect())
                   ) == sorted(map(tuple, reasons.collect()))
+
+
+def test_half_of_all_rows_in_one_run(spark):
+    """The streaks of one long run are counted in many tasks, and equal the plain window."""
+    rows = [(1, i * i, "a" if i % 50 else "b", None if i % 7 == 0 else "xyz"[(i // 5) % 3], None, None) for i in range(1000)]
+    rows += [(2 + i % 100, i, "a", "same" if i % 3 else None, None, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    cut = sliced(df, ["run_id", "agent_name"], ["seq"], parts=24)
+    assert cut.where("run_id = 1").select("slice").distinct().count() >= 8
+    for limit in (1, 3, 6):
+        want = mon._loop_window(df, ["run_id", "agent_name"], limit)
+        assert sorted(map(tuple, mon.loop_flags(df, limit).collect())) == sorted(map(tuple, want.collect()))

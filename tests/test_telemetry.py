@@ -193,8 +193,12 @@ def test_last_complete_prefers_a_present_null(spark):
 def test_attempts(spark):
     df = spark.createDataFrame([(1, 1, False), (1, 2, True), (2, 5, False), (2, 6, True)],
                                "run_id int, attempt int, success boolean")
-    rows = {r.run_id: (r.first_success, r.attempts, r.verified) for r in ev.attempt_rollup(df).collect()}
+    rows = {r.run_id: (r.first_success, r.attempts, r.verified) for r in ev.attempt_rollup(df, max_attempts=5).collect()}
     assert rows == {1: (2, 2, True), 2: (None, 5, False)}
     runs = spark.createDataFrame([(2, "story", "spec")], "run_id int, story string, spec string")
-    report = ev.failure_report(ev.attempt_rollup(df), runs).first().report
+    report = ev.failure_report(ev.attempt_rollup(df, max_attempts=5), runs).first().report
     assert report == "USER STORY:\nstory\n\nDAFNY CODE:\nspec\n\nCOMPILER OUTPUT:\n\n"
+    # without a limit every attempt counts
+    assert {r.run_id: (r.first_success, r.attempts, r.verified) for r in ev.attempt_rollup(df).collect()} == {
+        1: (2, 2, True), 2: (6, 6, True)}
+    assert ev.failure_report(ev.attempt_rollup(df), runs).collect() == []
