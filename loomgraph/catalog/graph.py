@@ -135,6 +135,12 @@ def impact_map_tree(spark, sf):
     return _impact(spark, sf, "v_tree")
 
 
+@query("impact_map_bucketed", _reach("{v_cyclic}", "{v_part_story}", 24))
+def impact_map_bucketed(spark, sf):
+    """The same walk with the edges in buckets, too, as beyond a million of them."""
+    return _impact(spark, sf, "v_cyclic", bucket_rows=500)
+
+
 @query("impact_map_cyclic", _reach("{v_cyclic}", "{v_part_story}", 24))
 def impact_map_cyclic(spark, sf):
     return _impact(spark, sf, "v_cyclic")

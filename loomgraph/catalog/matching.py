@@ -308,6 +308,30 @@ def feature_orphans(spark, sf):
     return report(load(spark, sf, "v_vec_line"), story_graph(spark, sf, stored=True)).pruned.select("definition_id")
 
 
+@query("feature_second_pass", "WITH RECURSIVE resolved AS (" + _RESOLVED.replace("ORDERING", "definition_id") + r"""),
+    made AS (
+        SELECT r.step_id, r.text, row_number() OVER (ORDER BY l.ord) AS n,
+               CASE r.action WHEN 'EXPAND' THEN r.definition_id
+                    ELSE concat('ruby_def_', substr(md5(r.text), 1, 12)) END AS made_id,
+               CASE r.action WHEN 'EXPAND' THEN replace(d.expression, 'is (\d+)', 'is (?:\$)?(\d+)') ELSE r.text END AS expression
+        FROM resolved r JOIN (SELECT step_id, min(ord) AS ord FROM {v_vec_line} a GROUP BY step_id) l ON l.step_id = r.step_id
+        LEFT JOIN {v_defs} d ON d.definition_id = r.definition_id WHERE r.action <> 'REUSE'),
+    walk AS (  -- line after line, with all that was made so far
+        SELECT 0::BIGINT AS n, NULL::VARCHAR AS step_id, NULL::VARCHAR AS hit, []::STRUCT(id VARCHAR, e VARCHAR)[] AS makers
+        UNION ALL
+        SELECT n, step_id, h, CASE WHEN h IS NULL THEN list_append(makers, struct_pack(id := made_id, e := expression)) ELSE makers END
+        FROM (SELECT w.makers, m.n, m.step_id, m.made_id, m.expression,
+                     list_filter(w.makers, lambda k: regexp_matches(m.text, k.e))[1].id AS h
+              FROM walk w JOIN made m ON m.n = w.n + 1) t)
+    SELECT r.step_id, CASE WHEN hit IS NULL THEN r.action ELSE 'REUSE' END AS action,
+           coalesce(hit, r.definition_id) AS definition_id
+    FROM resolved r LEFT JOIN walk w ON w.step_id = r.step_id""")
+def feature_second_pass(spark, sf):
+    """What becomes of each step when lines see what earlier lines made or widened."""
+    found = report(load(spark, sf, "v_vec_line"), story_graph(spark, sf, stored=True), in_order=True)
+    return found.resolved.select("step_id", "action", "definition_id")
+
+
 @query("phrase_list", """
     SELECT step_id, concat('- ', step_type, ' ', text) AS line FROM {v_step} s""")
 def phrase_list(spark, sf):

@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,8 +97,10 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
     Breadth first for all targets at once: one join per level against an edge table that is written
     once.  Beyond ``bucket_rows`` edges it is hash-bucketed on the followed column, so that no level
     shuffles the edges again, and nodes with very many dependents are spread over several buckets.
-    Each level is written to the shared folder; a (target, story) pair is entered once, so cycles end
-    and the target itself is returned when a cycle leads back to it.
+    The pairs seen so far are one table, hash-bucketed on (target, story); each level is laid out the
+    same way, meets its bucket there and is added to it, so what was seen is never shuffled again and all
+    levels together shuffle in proportion to the result.  A pair is entered once, so cycles end and
+    the target itself is returned when a cycle leads back to it.
 
     ``through_missing``: walk through ids that have no story row (they are never returned);
     otherwise such dependents end the walk.
@@ -122,14 +125,13 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
             keys = ["node", "slice"]
             cut = F.pmod(F.xxhash64("story_id"), F.coalesce("slices", F.lit(1))).cast("int")
             sliced = edges.join(heavy, "node", "left").withColumn("slice", cut).drop("slices")
-        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                      math.ceil(n_edges / bucket_rows))
+        buckets = math.ceil(n_edges / bucket_rows)
         bucketed = write_bucketed(edges if heavy is None else sliced, "impact_edges", keys, buckets)
 
     frontier = targets.select(F.col("story_id").alias("target"),
                               F.col("story_id").alias("node")).dropDuplicates()
     schema = frontier.schema
-    root = shared_path(spark, "impact_levels")
+    seen = SeenPairs(spark, schema)
     depth = 0
     while max_depth is None or depth < max_depth:
         # many targets on one node: a plain join, whose two shuffled sides Spark can split by itself
@@ -140,27 +142,54 @@ def impact_map(stories: DataFrame, depends_on: DataFrame, targets: DataFrame,
                 every = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
                 frontier = frontier.join(heavy, "node", "left").withColumn("slice", F.explode(every))
             step = frontier.join(spark.table(bucketed), keys)
-        reached = step.select("target", F.col("story_id").alias("node")).dropDuplicates()
-        if depth:
-            seen = spark.read.schema(schema).parquet(root)
-            reached = reached.join(seen, ["target", "node"], "left_anti")
         depth += 1
-        level = f"{root}/depth={depth}"
-        reached.write.parquet(level)
-        frontier = spark.read.schema(schema).parquet(level)
+        frontier = seen.add(seen.fresh(step.select("target", F.col("story_id").alias("node"))), depth)
         if frontier.isEmpty():
             break
+    seen.close()
     if bucketed:
         spark.sql(f"DROP TABLE {bucketed}")  # every level is a written table of its own
     if depth:
         leveled = T.StructType(schema.fields + [T.StructField("depth", T.IntegerType())])
-        found = spark.read.schema(leveled).parquet(root)
+        found = spark.read.schema(leveled).parquet(seen.path)
     else:
         found = frontier.withColumn("depth", F.lit(0)).where(F.lit(False))
     return (found.withColumnRenamed("node", "story_id").join(titles, "story_id")
             .select("target", "story_id", "title", "depth", relation(F.col("depth")).alias("relation")))
 
 
+class SeenPairs:
+    """The (target, node) pairs entered so far, by depth, in buckets of (target, node)."""
+
+    KEYS = ["target", "node"]
+
+    def __init__(self, spark: SparkSession, schema: T.StructType):
+        self.spark, self.schema = spark, schema
+        self.path = shared_path(spark, "impact_levels")
+        self.table = f"impact_levels_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.entered = False
+
+    def fresh(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are new, once each: one shuffle, of the given pairs only."""
+        once = pairs.repartition(self.buckets, *self.KEYS).dropDuplicates(self.KEYS)
+        if not self.entered:
+            return once
+        return once.join(self.spark.table(self.table).select(*self.KEYS), self.KEYS, "left_anti")
+
+    def add(self, pairs: DataFrame, depth: int) -> DataFrame:
+        """Enter pairs that are laid out in buckets already; returns them, read back."""
+        (pairs.withColumn("depth", F.lit(depth)).write.partitionBy("depth").bucketBy(self.buckets, *self.KEYS)
+         .option("path", self.path).format("parquet").mode("append").saveAsTable(self.table))
+        self.entered = True
+        return self.spark.table(self.table).where(F.col("depth") == depth).select(*self.KEYS)
+
+    def close(self) -> None:
+        """Forget the table's name; its files stay and are read by path."""
+        if self.entered:
+            self.spark.sql(f"DROP TABLE {self.table}")
+
+
 def _largest_group(df: DataFrame, key: str) -> int:
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

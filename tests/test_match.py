@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.patterns import GRAM, required_grams
 from loomgraph.operators import match as m
 from loomgraph.operators import nearest as nn
+from loomgraph.plans.features import resolve_in_order
 from loomgraph.schema import BINDS, DEFINITION, STEP, STORY
 
 PATTERNS = [
@@ -236,3 +238,38 @@ def test_unusable_vectors_hide_no_neighbour(spark):
                                     "query_id string, embedding array<double>")
     got = nn.top_k(queries, candidates, k=2, block_rows=1).collect()
     assert sorted((r.query_id, r["rank"], r.cand_id) for r in got) == [("q", 1, "a"), ("q", 2, "b")]
+
+
+def in_order(lines, definitions, resolved):
+    """One line after the other."""
+    made, out = [], {}
+    for step, text in lines:
+        action, definition = resolved[step]
+        if action != "REUSE":
+            hit = next((d for d, e in made if re.search(e, text)), None)
+            if hit:
+                action, definition = "REUSE", hit
+            elif action == "EXPAND":
+                made.append((definition, definitions[definition].replace(r"is (\d+)", r"is (?:\$)?(\d+)")))
+            else:
+                made.append((f"ruby_def_{hashlib.md5(text.encode()).hexdigest()[:12]}", text))
+        out[step] = (action, definition)
+    return out
+
+
+def test_lines_see_what_earlier_lines_made(spark):
+    texts = ["pay 1", "pay 12", "pay 123 now", "he will pay 12", "debt is $5", "debt is 7 and pay 1", "a.c", "abc", "abcd", "a+", "aa+",
+             "debt is $5 to abc", "new", "newer", "newest", "the newer one", "debt is $9"]
+    expand = {"debt is $5", "debt is 7 and pay 1", "debt is $9"}
+    definitions = {"d1": r"debt is (\d+) or else", "d2": r"debt is (\d+)"}
+    known = spark.createDataFrame([(d, e, "", None) for d, e in definitions.items()], DEFINITION)
+    for seed in range(3):
+        order = list(np.random.default_rng(seed).permutation(len(texts)))
+        lines = [(f"s{i}", texts[i]) for i in order]
+        resolved = {f"s{i}": ("EXPAND", "d2") if t in expand else ("REUSE", "d1") if t == "newest" else ("GENERATE", None)
+                    for i, t in enumerate(texts)}
+        table = spark.createDataFrame([(s, a, d, 0.7 if a == "EXPAND" else None) for s, (a, d) in resolved.items()],
+                                      "step_id string, action string, definition_id string, similarity double")
+        rows = spark.createDataFrame([(s, t, n) for n, (s, t) in enumerate(lines)], "step_id string, text string, ord int")
+        got = {r.step_id: (r.action, r.definition_id) for r in resolve_in_order(table, rows, known).collect()}
+        assert got == in_order(lines, definitions, resolved)

@@ -1,9 +1,10 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomgraph.operators import tables as t
-from loomgraph.operators.graph import StoryGraph, impact_context, impact_map
+from loomgraph.operators.graph import SeenPairs, StoryGraph, impact_context, impact_map
 from loomgraph.schema import BINDS, DEFINITION, DEPENDS_ON, IMPLEMENTS, STEP, STORY
 
 slow = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -179,3 +180,32 @@ def test_bfs_against_plain_search(spark, pairs, bucket_rows):
                     want[str(root), str(a)] = depth + 1
                     queue.append((a, depth + 1))
     assert reached(found) == want
+
+
+def test_seen_pairs_are_never_shuffled(spark):
+    """A level shuffles its own pairs once; what was seen comes bucket by bucket."""
+    seen = SeenPairs(spark, targets(spark, "a").select(F.col("story_id").alias("target"), F.col("story_id").alias("node")).schema)
+    def pairs(low, high):
+        return spark.range(low, high).select((F.col("id") % 2).cast("string").alias("target"), F.col("id").cast("string").alias("node"))
+    seen.add(seen.fresh(pairs(0, 500)), 1)
+    seen.add(seen.fresh(pairs(300, 900)), 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = seen.fresh(pairs(800, 1000))
+        assert sorted(int(r.node) for r in fresh.collect()) == list(range(900, 1000))
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[0]
+        assert final.count("Exchange hashpartitioning(") == 1 and "Bucketed: true" in final, final
+        assert seen.spark.table(seen.table).where("depth = 2").count() == 400
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        seen.close()
+
+
+def test_deep_chain(spark):
+    """Every link of a chain is found at its depth, from two starts."""
+    names = [f"{i:03d}" for i in range(25)]
+    chain = edges(spark, [(b, a) for a, b in zip(names, names[1:])])
+    found = reached(impact_map(stories(spark, names), chain, targets(spark, "000", "015")))
+    assert found == {("000", names[i]): i for i in range(1, 25)} | {("015", names[i]): i - 15 for i in range(16, 25)}
