@@ -34,7 +34,7 @@ def parse_steps(spark, sf):
     return corpus.parse_steps(files, ("The", "Of", "And")).withColumnRenamed("file_name", "doc_id")
 
 
-_BLOCK = r"(?s)(Given|When|Then)\(\/\^(.*?)\$\/\) do( \|.*?\|)?\n(.*?)\nend"
+_BLOCK = corpus.DEFINITION_PATTERN
 
 
 @query("parse_definitions", f"""
@@ -62,11 +62,9 @@ def story_nodes(spark, sf):
     return corpus.story_nodes(load(spark, sf, "v_file"), seeds)
 
 
-@query("feature_routes", """
-    SELECT file_name, CASE WHEN contains(lower(file_name), 'withdraw') THEN 'banking_01_withdrawal.txt'
-                           WHEN contains(lower(file_name), 'atm') THEN 'banking_04_daily_limit.txt'
-                      END AS story_id
-    FROM {v_feature} f""")
+@query("feature_routes", "SELECT file_name, CASE " + " ".join(
+    f"WHEN contains(lower(file_name), '{word}') THEN '{story}'" for word, story in tx.FEATURE_RULES)
+    + " END AS story_id FROM {v_feature} f")
 def feature_routes(spark, sf):
     return load(spark, sf, "v_feature").select(
         "file_name", tx.route_feature(F.col("file_name")).alias("story_id"))
