@@ -273,3 +273,27 @@ def test_lines_see_what_earlier_lines_made(spark):
         rows = spark.createDataFrame([(s, t, n) for n, (s, t) in enumerate(lines)], "step_id string, text string, ord int")
         got = {r.step_id: (r.action, r.definition_id) for r in resolve_in_order(table, rows, known).collect()}
         assert got == in_order(lines, definitions, resolved)
+
+
+@pytest.mark.parametrize("k,exclude_self,block_rows,repeats", [(3, True, 10, 1), (1, False, 4, 3), (4, True, 500, 3), (60, False, 9, 2)])
+def test_many_bundles_equal_brute_force(spark, monkeypatch, k, exclude_self, block_rows, repeats):
+    """Bundles of 40 candidates and blocks of 30 visitors; each vector several times; one pivot holds too many."""
+    monkeypatch.setattr(nn, "BUNDLE_ROWS", 40)
+    monkeypatch.setattr(nn, "VISITORS", 30)
+    rng = np.random.default_rng(5)
+    plain = rng.standard_normal((100, 6)) + np.where(np.arange(100) % 2, 9.0, 0.0)[:, None]
+    vectors = [(i, plain[i % 100].tolist()) for i in range(100 * repeats)] + [(900, [1.0, 2.0]), (901, [0.0] * 6)]
+    q = spark.createDataFrame(vectors, "query_id int, embedding array<double>")
+    c = spark.createDataFrame(vectors, "cand_id int, embedding array<double>")
+    found = nn.top_k(q, c, k, exclude_self, block_rows).collect()
+    assert len(found) == len(set(found))
+    assert {(r.query_id, r.cand_id, round(r.similarity, 9), r["rank"]) for r in found} == brute_force(vectors, k, exclude_self)
+
+
+def test_small_cells_write_no_more(spark, monkeypatch, tmp_path):
+    """What is written is rows of the tables, not visits of cells: a cell for each candidate here, none ruled out."""
+    vectors = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).standard_normal((300, 32)))]
+    q = spark.createDataFrame(vectors, "query_id int, embedding array<double>")
+    monkeypatch.setattr("loomgraph.session.shared_root", lambda _: str(tmp_path))
+    assert nn.top_k(q, q.withColumnRenamed("query_id", "cand_id"), 3, True, 1).count() == 900
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 500_000
