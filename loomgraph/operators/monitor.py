@@ -2,8 +2,8 @@
 
 A run is an ordered list of actions.  The first violation trips the run's breaker; that action is
 still logged, every later one is rejected.  With a call cap the breaker trips at action cap + 1 at
-the latest, so only the first cap + 1 actions of a run can decide anything: a group limit takes them
-before the shuffle, and a run of any length is judged on a handful of rows.
+the latest, so only the first cap + 1 actions of a run can decide anything: a group limit finds the last
+of them by its keys, and vectors are compared for those actions only.
 """
 from __future__ import annotations
 
@@ -102,14 +102,17 @@ def first_trips(actions: DataFrame, loop_limit: int = LOOP_LIMIT, max_calls: int
     run = Window.partitionBy("run_id").orderBy("seq")
     keep = [c for c in ("run_id", "seq", "agent_name", "response", "story_vec", "response_vec")
             if c in actions.columns]
-    head = (actions.select(*keep).withColumn("_n", F.row_number().over(run))
-            .where(F.col("_n") <= max_calls + 1))
+    # what comes after action cap + 1 is left out by keys only, before any vector is joined to it or moved
+    last = call_violations(actions, max_calls).select(F.col("run_id").alias("_run"), F.col("seq").alias("_last"))
+    after = F.coalesce(F.col("seq") > F.col("_last"), F.col("_last").isNull() & F.col("seq").isNotNull())
+    near = actions.select(*keep).join(last, F.col("run_id").eqNullSafe(F.col("_run")) & after, "left_anti")
+    near = near.withColumn("_sim", drift_column(near)).drop("story_vec", "response_vec")
+    head = near.withColumn("_n", F.row_number().over(run)).where(F.col("_n") <= max_calls + 1)
     # at most max_calls + 1 rows per run from here on
     agent = Window.partitionBy("run_id", "agent_name").orderBy("seq").rowsBetween(
         -(loop_limit - 1), 0)
     said = F.struct(F.coalesce("response", F.lit("")), F.col("response").isNull())
-    judged = (head.withColumn("_sim", drift_column(head))
-              .withColumn("_loop", (F.count(F.lit(1)).over(agent) == loop_limit)
+    judged = (head.withColumn("_loop", (F.count(F.lit(1)).over(agent) == loop_limit)
                           & (F.min(said).over(agent) == F.max(said).over(agent))))
     reason = (F.when(F.col("_n") > max_calls, F.lit(CALLS_REASON % max_calls))
               .when(F.col("_loop"), F.format_string(LOOP_REASON, "agent_name", F.lit(loop_limit)))

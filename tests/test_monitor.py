@@ -128,3 +128,16 @@ def test_half_of_all_rows_in_one_run(spark):
     for limit in (1, 3, 6):
         want = mon._loop_window(df, ["run_id", "agent_name"], limit)
         assert sorted(map(tuple, mon.loop_flags(df, limit).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_vectors_are_joined_to_the_first_actions_only(spark):
+    """The join with the vectors reads cap + 1 actions of a run, and no vector is shuffled to its run."""
+    actions = spark.createDataFrame([(r, i, "a", str(i)) for r in range(3) for i in range(40)] + [(None, 1, "a", "x"), (1, None, "a", "y")],
+                                    "run_id bigint, seq bigint, agent_name string, response string")
+    vectors = spark.createDataFrame([(r, [1.0, 0.0]) for r in range(3)], "v bigint, story_vec array<double>")
+    joined = actions.join(vectors.hint("merge"), F.expr("run_id % 3 = v")).withColumn("response_vec", F.col("story_vec"))
+    trips = mon.first_trips(joined, max_calls=5)
+    assert sorted((r.run_id, r.trip_seq) for r in trips.collect()) == [(0, 5), (1, 4), (2, 5)]
+    plan = trips._sc._jvm.PythonSQLUtils.explainString(trips._jdf.queryExecution(), "formatted")
+    shuffled = [node for node in plan.split("\n\n") if ") Exchange" in node and "run_id" in node]
+    assert shuffled and not any("story_vec" in node for node in shuffled)
