@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.operators import tables as t
+from loomgraph.operators import graph, tables as t
 from loomgraph.operators.graph import SeenPairs, StoryGraph, impact_context, impact_map
 from loomgraph.schema import BINDS, DEFINITION, DEPENDS_ON, IMPLEMENTS, STEP, STORY
 
@@ -121,6 +121,16 @@ def test_bucketed_edges_give_the_same_map(spark):
     assert plain == bucketed and plain["1", "59"] == 5
 
 
+def test_small_buckets_are_bounded_by_the_shuffle_partitions(spark, monkeypatch):
+    """A bucket is a task of every level; 59 edges in buckets of one row made 59 of them."""
+    made, write = [], graph.write_bucketed
+    monkeypatch.setattr(graph, "write_bucketed", lambda *given: made.append(given[-1]) or write(*given))
+    tree = edges(spark, [(str(i), str(i // 2)) for i in range(1, 60)])
+    known = stories(spark, [str(i) for i in range(60)])
+    assert reached(impact_map(known, tree, targets(spark, "1"), bucket_rows=1))["1", "59"] == 5
+    assert made == [4]
+
+
 def test_a_hub_is_cut_into_slices(spark):
     hub = [(f"l{i}", "hub") for i in range(40)] + [("top", "l7"), ("end", "top"), ("hub", "root")]
     known = stories(spark, [f"l{i}" for i in range(40)] + ["top", "end", "hub", "root"])
