@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.functions.patterns import GRAM, required_grams
+from loomgraph.functions.patterns import GRAM, required_grams, required_pieces
 from loomgraph.operators import match as m
 from loomgraph.operators import nearest as nn
 from loomgraph.plans.features import resolve_in_order
@@ -299,3 +299,25 @@ def test_small_cells_write_no_more(spark, monkeypatch, tmp_path):
     monkeypatch.setattr("loomgraph.session.shared_root", lambda _: str(tmp_path))
     assert nn.top_k(q, q.withColumnRenamed("query_id", "cand_id"), 3, True, 1).count() == 900
     assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 500_000
+
+
+def test_numbered_definitions_have_short_lists(spark):
+    """One definition a number: with pieces of four characters each list held the texts of many numbers."""
+    numbers = [100_000 + 7 * i for i in range(1000)]
+    texts = [f"the red ring item {n} stock is 5" for n in numbers]
+    table = m.prepare_definitions(defs(spark, [rf"the red ring item {n} stock is ([0-9]+)" for n in numbers]))
+    plain = m.materialize(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "texts")
+    index = m.postings(plain, table)
+    rarest = (table.select("definition_id", F.explode("grams").alias("gram"))
+              .join(index.groupBy("gram").agg(F.count("key").alias("n")), "gram").groupBy("definition_id").agg(F.min("n").alias("n")))
+    assert rarest.where("n = 1").count() == len(numbers)
+    assert m.candidates(index, table).count() == len(numbers)
+    assert index.count() < 12 * len(numbers)  # of about 30 pieces a text
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.text("ab", min_size=4, max_size=40), st.text("ab", max_size=10), st.text("ab", max_size=10))
+def test_pieces_are_required_and_cover_the_grams(run, before, after):
+    pieces = required_pieces(run)
+    assert all(p in before + run + after for p in pieces)
+    assert all(any(g in p for p in pieces) for g in required_grams(run))
