@@ -10,18 +10,20 @@ the order the decoder takes them.  Checkpoints are triples of ``int64``: first b
 """
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loomgraph.llm.kernel import worker_state
+from loomgraph.llm.kernel import row_slices, worker_state
 from loomgraph.session import materialize
 
 BITS = 20
 LANES = 256
 CHUNK_IDS = 1 << 16
+SLICE = 1 << 18  # bytes of text tokenized at once
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -81,18 +83,23 @@ def decode_chunk(data: bytes, n: int, table: Frequencies) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): whole texts (null: empty) with ``end_id`` after each."""
+    """(doc_id, ids): whole texts (null: empty) with ``end_id`` after each.
+
+    Texts go through the tokenizer about ``SLICE`` bytes at a time, on the task's own thread: what it keeps
+    of a token besides its id takes some hundred bytes, and threads of its own keep memory of their own.
+    """
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
         tokenizer = worker_state(("tokenizer", vocabulary), lambda: Tokenizer.from_file(vocabulary))
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            for first in range(0, len(texts), 64):
-                coded = [e.ids + [end_id] for e in
-                         tokenizer.encode_batch_fast(texts[first:first + 64], add_special_tokens=False)]
+            for part in row_slices(batch, limit=SLICE):
+                coded = [np.array(e.ids + [end_id], np.int32) for e in tokenizer.encode_batch_fast(
+                    [t or "" for t in part["text"].to_pylist()], add_special_tokens=False)]
+                ends = np.cumsum([0, *map(len, coded)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, len(coded)), pa.array(coded, pa.list_(pa.int32()))],
-                    ["doc_id", "ids"])
+                    [part["doc_id"], pa.ListArray.from_arrays(
+                        pa.array(ends.astype(np.int32)), pa.array(np.concatenate(coded)))], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

@@ -1,11 +1,13 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -371,3 +373,32 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
     assert set(out.columns) == {*docs.columns, "ids", "n_tokens", "decoded_sha256"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_texts_are_tokenized_in_slices_of_bytes(spark, monkeypatch):
+    """64 texts at a time were megabytes of tokens, whatever their length, on as many threads as there are cores."""
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm import token_store
+    texts = [None, "", *(f"word {i} " * 9000 for i in range(40)), "end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = {r.doc_id: list(r.ids) for r in token_store.tokenize(rows, path, 2).collect()}
+    tokenizer = Tokenizer.from_file(path)
+    assert got == {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+    sizes = []
+
+    class Watched:
+        def encode_batch_fast(self, part, **how):
+            sizes.append((len(part), sum(map(len, part)), os.environ["TOKENIZERS_PARALLELISM"]))
+            return tokenizer.encode_batch_fast(part, **how)
+
+    run = []
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    monkeypatch.setattr(token_store, "worker_state", lambda key, make: Watched())
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, fn, kind: run.append(fn))
+    token_store.tokenize(rows, path, 2)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert sum(len(part) for part in run[0](iter([batch]))) == len(texts)
+    assert all(chars <= token_store.SLICE and threads == "false" for _, chars, threads in sizes) and len(sizes) > 10
