@@ -6,7 +6,8 @@ overstate.  All n-grams are held.  The filter has ``BITS_PER_ENTRY`` bits for ea
 with the corpus; beyond ``max_bytes`` it is cut into parts by hash, each built, broadcast and probed
 in a pass of its own.
 
-Probabilities interpolate the orders.  The base score (add-half unigrams) uses exact counts, by join.
+Probabilities interpolate the orders.  The base score (add-half unigrams) uses exact counts: those of
+the most frequent words are broadcast, the others' come by join.
 """
 from __future__ import annotations
 
@@ -19,9 +20,15 @@ from loomgraph.session import materialize
 
 BITS_PER_ENTRY = 12
 PROBES = 4
-#: 8-byte words of the filter in one row, and rows brought to the driver at once (64 MB).
-SLICE = 1 << 13
-ROWS = 1 << 10
+#: Slices of the filter at most, so that the rows of its lists grow with the n-grams alone; the fewest 8-byte
+#: words of a slice, and words brought to the driver at once (64 MB).
+SLICES = 1 << 10
+SLICE = 1 << 10
+WORDS = 1 << 23
+#: Words whose exact counts are broadcast (16 bytes each); the others meet theirs in a join.
+FREQUENT = 1 << 17
+#: N-grams whose bits are put together before they are shuffled.
+GATHERED = 1 << 19
 #: Weight of the longer history, per order above the first.
 MIXING = 0.3
 _END = np.uint64(0xE2D0E2D0E2D0E2D1)
@@ -79,38 +86,59 @@ def _level():
     return 1 + F.floor(F.log2(F.col("n").cast("double")))
 
 
+def _gathered(batches):
+    """(n-grams, levels), about ``GATHERED`` at a time."""
+    grams, levels, held = [], [], 0
+    for batch in batches:
+        grams.append(batch["gram"].to_numpy().view(np.uint64))
+        levels.append(batch["level"].to_numpy())
+        held += batch.num_rows
+        if held >= GATHERED:
+            yield np.concatenate(grams), np.concatenate(levels)
+            grams, levels, held = [], [], 0
+    if held:
+        yield np.concatenate(grams), np.concatenate(levels)
+
+
 def build_filter(counts: DataFrame, part: int = 0, parts: int = 1) -> np.ndarray:
-    """One part of the filter; ORed per batch, then by slice, and brought to the driver as bytes."""
+    """One part of the filter, brought to the driver as bytes.
+
+    A slice is made in one task from its bits, which travel as lists: one row for each slice and
+    ``GATHERED`` n-grams.
+    """
     counts = counts.where(F.pmod("gram", F.lit(parts)) == part)
     entries = counts.agg(F.coalesce(F.sum(_level()), F.lit(0))).first()[0]
     size = max(1024, -(-int(entries) * BITS_PER_ENTRY // 64) * 64)
+    wide = max(SLICE, -(-size // (64 * SLICES)))
 
     def run(batches):
-        for batch in batches:
-            grams = batch["gram"].to_numpy().view(np.uint64)
-            levels = batch["level"].to_numpy()
-            for level in range(1, int(levels.max(initial=0)) + 1):
-                where = np.unique(np.concatenate(_bits(grams[levels >= level], level, size)))
-                slot, first = np.unique(where >> 6, return_index=True)
-                value = np.bitwise_or.reduceat(np.uint64(1) << (where & 63).astype(np.uint64), first) if len(slot) else where.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot // SLICE), pa.array((slot % SLICE).astype(np.int32)), pa.array(value.view(np.int64))],
-                    ["slice", "slot", "value"])
-
-    def dense(group: pa.Table) -> pa.Table:
-        held = np.zeros(SLICE, np.uint64)
-        held[group["slot"].to_numpy()] = group["value"].to_numpy().view(np.uint64)
-        return pa.table({"slice": group["slice"][:1], "held": pa.array([held.tobytes()], pa.binary())})
+        for grams, levels in _gathered(batches):
+            bits = [x for level in range(1, int(levels.max()) + 1)
+                    for x in _bits(grams[levels >= level], level, size)]
+            where = np.sort(np.concatenate(bits))
+            slices = where // (64 * wide)
+            first = np.flatnonzero(np.diff(slices, prepend=-1))
+            lists = (where % (64 * wide)).astype("<u4").tobytes()
+            ends = [*(4 * first).tolist(), len(lists)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slices[first]), pa.array([lists[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], ["slice", "bits"])
+
+    def dense(group: pa.Table) -> pa.Table:  # a slice has few bits more than PROBES / BITS_PER_ENTRY of its size
+        held = np.zeros(64 * wide, bool)
+        for bits in group["bits"]:
+            held[np.frombuffer(bits.as_buffer(), "<u4")] = True
+        packed = np.packbits(held, bitorder="little").tobytes()
+        return pa.table({"slice": group["slice"][:1], "held": pa.array([packed], pa.binary())})
 
     slices = materialize(
-        counts.select("gram", _level().alias("level")).mapInArrow(run, "slice long, slot int, value long")
-        .groupBy("slice", "slot").agg(F.bit_or("value").alias("value"))  # at most SLICE rows a slice
+        counts.select("gram", _level().alias("level")).mapInArrow(run, "slice long, bits binary")
         .groupBy("slice").applyInArrow(dense, "slice long, held binary"), "filter")
-    table = np.zeros(-(-(size // 64) // SLICE) * SLICE, np.uint64)
-    for low in range(0, len(table) // SLICE, ROWS):
-        rows = slices.where(F.col("slice").between(low, low + ROWS - 1)).toArrow()
-        for at, held in zip(rows["slice"].to_pylist(), rows["held"]):
-            table[at * SLICE:(at + 1) * SLICE] = np.frombuffer(held.as_buffer(), np.uint64)
+    n = -(-size // (64 * wide))
+    table, rows = np.zeros(n * wide, np.uint64), max(1, WORDS // wide)
+    for low in range(0, n, rows):
+        got = slices.where(F.col("slice").between(low, low + rows - 1)).toArrow()
+        for at, held in zip(got["slice"].to_pylist(), got["held"]):
+            table[at * wide:(at + 1) * wide] = np.frombuffer(held.as_buffer(), np.uint64)
     return table[:size // 64]
 
 
@@ -143,6 +171,8 @@ def score(docs: DataFrame, training: DataFrame, order: int = 2, max_bytes: int =
     spark = docs.sparkSession
     parts = n_parts(counts, max_bytes)
     room = total + 0.5 * (distinct + 1)
+    top = one.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram", "n").orderBy("gram").toArrow()
+    often = spark.sparkContext.broadcast((top["gram"].to_numpy(), top["n"].to_numpy()))
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -184,24 +214,33 @@ def score(docs: DataFrame, training: DataFrame, order: int = 2, max_bytes: int =
                     ratio = np.minimum(1, seen[size - 1][known] / context[known])
                     p[known] = (1 - MIXING) * p[known] + MIXING * ratio
                 logs = np.add.reduceat(np.log10(p), bounds[:-1])
-                tokens = []
-                for i in range(len(bounds) - 1):
-                    got, n = np.unique(grams[0][bounds[i]:bounds[i + 1]], return_counts=True)
-                    tokens.append([{"gram": int(g), "n": int(k)} for g, k in zip(got.view(np.int64), n)])
+                n = len(bounds) - 1
+                found = [np.unique(grams[0][bounds[i]:bounds[i + 1]], return_counts=True) for i in range(n)]
+                at = np.repeat(np.arange(n), [len(got) for got, _ in found])
+                gram, times = (np.concatenate(x) for x in zip(*found))
+                gram = gram.view(np.int64)
+                place = np.minimum(np.searchsorted(often.value[0], gram), max(0, len(often.value[0]) - 1))
+                hit = often.value[0][place] == gram if len(often.value[0]) else np.zeros(len(gram), bool)
+                base = times[hit] * np.log10((often.value[1][place[hit]] + 0.5) / room)
+                rest = np.concatenate([[0], np.cumsum(np.bincount(at[~hit], minlength=n))]).astype(np.int32)
+                tokens = pa.StructArray.from_arrays([pa.array(gram[~hit]), pa.array(times[~hit])], ["gram", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(first, len(tokens)), pa.array(np.diff(bounds)), pa.array(logs),
-                     pa.array(tokens, pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))],
-                    ["doc_id", "n_tokens", "score", "tokens"])
+                    [batch["doc_id"].slice(first, n), pa.array(np.diff(bounds)), pa.array(logs),
+                     pa.array(np.bincount(at[hit], times[hit], n).astype(np.int64)), pa.array(np.bincount(at[hit], base, n).astype(float)),
+                     pa.ListArray.from_arrays(pa.array(rest), tokens)],
+                    ["doc_id", "n_tokens", "score", "n_often", "base_often", "tokens"])
 
     scored = materialize(rows.mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, score double, tokens array<struct<gram:bigint,n:bigint>>"),
+        run, f"doc_id {kind}, n_tokens long, score double, n_often long, base_often double, "
+             "tokens array<struct<gram:bigint,n:bigint>>"),
         "scored").withColumn("row", F.monotonically_increasing_id())
     parts = scored.select("row", F.explode("tokens").alias("token")).select("row", "token.gram", "token.n")
     exact = one.select("gram", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))
     base = (parts.join(exact, "gram", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(room))).alias("base_score")))
-    return scored.drop("tokens").join(base, "row").select(
-        "row", "doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        "base_score", "score")
+        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rare"),
+        F.sum(F.col("n") * F.log10((c + 0.5) / F.lit(room))).alias("base_rare")))
+    return scored.drop("tokens").join(base, "row", "left").select(
+        "row", "doc_id", "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base_often") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score")

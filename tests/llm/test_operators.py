@@ -402,3 +402,63 @@ def test_texts_are_tokenized_in_slices_of_bytes(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     assert sum(len(part) for part in run[0](iter([batch]))) == len(texts)
     assert all(chars <= token_store.SLICE and threads == "false" for _, chars, threads in sizes) and len(sizes) > 10
+
+
+def test_a_filter_slice_is_shuffled_as_lists_of_bits(spark, monkeypatch):
+    """Each of a filter's words was a row of its own in the shuffle."""
+    monkeypatch.setattr(bloom_lm, "GATHERED", 1000)
+    monkeypatch.setattr(bloom_lm, "SLICE", 4)
+    monkeypatch.setattr(bloom_lm, "SLICES", 5)
+    monkeypatch.setattr(bloom_lm, "WORDS", 500)
+    counts = spark.range(6000).select(F.xxhash64("id").alias("gram"), (1 + F.col("id") % 5).alias("n")).coalesce(1)
+    table = bloom_lm.build_filter(counts)
+    rows = counts.collect()
+    size = -(-sum(r.n.bit_length() for r in rows) * bloom_lm.BITS_PER_ENTRY // 64)
+    want = [0] * size
+    for level in (1, 2, 3):
+        grams = np.array([r.gram for r in rows if r.n.bit_length() >= level], np.int64).view(np.uint64)
+        for bit in np.concatenate(bloom_lm._bits(grams, level, size * 64)).tolist():
+            want[bit >> 6] |= 1 << (bit & 63)
+    assert table.tolist() == want
+
+    widest, made = [], type(counts).mapInArrow
+    monkeypatch.setattr(type(counts), "mapInArrow", lambda self, fn, kind: widest.append(made(self, fn, kind)) or widest[-1])
+    bloom_lm.build_filter(counts)
+    assert widest[0].count() <= 6 * 5  # lists of so many n-grams, each in so many slices
+
+
+def test_frequent_words_are_not_shuffled_for_the_base_score(spark, docs, monkeypatch):
+    """Every word of every text was stored, and shuffled to meet its count."""
+    want = {r.row: r for r in bloom_lm.score(docs, docs).collect()}
+    kept, write = {}, bloom_lm.materialize
+    monkeypatch.setattr(bloom_lm, "materialize", lambda df, label: kept.setdefault(label, write(df, label)))
+    for often, rest in ((0, True), (3, True), (1 << 17, False)):
+        monkeypatch.setattr(bloom_lm, "FREQUENT", often)
+        kept.clear()
+        got = bloom_lm.score(docs, docs).collect()
+        assert bool(kept["scored"].agg(F.sum(F.size("tokens"))).first()[0]) == rest
+        assert all((r.n_known, r.n_tokens) == (want[r.row].n_known, want[r.row].n_tokens)
+                   and abs(r.base_score - want[r.row].base_score) < 1e-9 * abs(r.base_score) for r in got)
+
+
+def test_shuffle_files_go_when_a_step_is_written(tmp_path):
+    """They stayed until the driver collected its garbage, so all steps' files lay on the disk together."""
+    import subprocess
+    import sys
+    from pathlib import Path
+    code = f"""
+import time
+from pathlib import Path
+from loomgraph.session import build_session, materialize
+spark = build_session("files", "local[2]", **{{"spark.local.dir": {str(tmp_path / 'local')!r}, "spark.ui.enabled": "false",
+                      "spark.checkpoint.dir": {str(tmp_path / 'kept')!r}, "spark.sql.shuffle.partitions": "2"}})
+kept = materialize(spark.range(1000).repartition(3, "id"), "rows")
+for _ in range(40):
+    left = list(Path({str(tmp_path / 'local')!r}).rglob("shuffle_*.data"))
+    if not left:
+        break
+    time.sleep(0.5)
+print("files", len(left), kept.count())
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=200)
+    assert "files 0 1000" in run.stdout, run.stdout + run.stderr[-2000:]
