@@ -10,8 +10,11 @@ the order the decoder takes them.  Checkpoints are triples of ``int64``: first b
 """
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,11 @@ BITS = 20
 LANES = 256
 CHUNK_IDS = 1 << 16
 SLICE = 1 << 18  # bytes of text tokenized at once
+KEPT = 1 << 23  # bytes of words whose ids a worker keeps, some words more
+JOINED = 256  # words that go through the tokenizer as one text, each with a mark behind it
+_MARK = "\x01"
+# the pieces of the public word vocabulary (a fixed value of its file): none holds a blank
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -82,24 +90,124 @@ def decode_chunk(data: bytes, n: int, table: Frequencies) -> np.ndarray:
     return ids
 
 
+@lru_cache
+def blanks_only_part(vocabulary: str) -> bool:
+    """Whether a text's ids are those of its words between ASCII blanks, one word after another.
+
+    So it is where blanks are in no piece, and nothing that is done to a text before reaches over a blank.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        said = json.load(f)
+
+    def steps(key, of):
+        step = said.get(key) or {"type": "Sequence", of: []}
+        return step[of] if step["type"] == "Sequence" else [step]
+
+    changes = [x for x in steps("normalizer", "normalizers") if x["type"] not in ("NFC", "Lowercase")]
+    first = [*steps("pre_tokenizer", "pretokenizers"), {}][0]
+    return (all(x == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "} for x in changes)
+            and first == {"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}
+            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or x["content"].split() != [x["content"]]
+                        for x in said["added_tokens"])
+            and not said["truncation"] and not said["padding"] and not said["model"].get("dropout"))
+
+
+class _Places(dict):
+    """Numbers of words in the order they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """The first ``n`` values of ``held`` and ``more``, with room for others behind them."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.empty(n + len(more), held.dtype)])
+    held[n:n + len(more)] = more
+    return held
+
+
+class WordIds:
+    """The ids of texts, word by word: the tokenizer codes a word once for as long as it is kept."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.tokenizer, self.end_id, self.bytes = tokenizer, end_id, KEPT
+        self.mark = self._ids([_MARK])[0]
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(
+            texts, add_special_tokens=False)])
+
+    def _clear(self) -> None:
+        # a blank, which is no word, stands for the end of a text
+        self.places, self.bytes = _Places({b" ": 0}), 0
+        self.ids, self.n_ids = np.array([self.end_id], np.int32), 1
+        self.first, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _learn(self, new: list[bytes], known: int) -> None:
+        """Code the words ``new``, joined by a mark that parts their ids again; ``known`` words are there."""
+        texts = [w.decode() for w in new]
+        odd = [i for i, t in enumerate(texts) if _MARK in t]
+        coded = self._ids([f" {_MARK} ".join(["" if _MARK in t else t for t in texts[i:i + JOINED]] + [""])
+                           for i in range(0, len(texts), JOINED)])
+        lengths = np.diff(np.flatnonzero(coded == self.mark), prepend=-1) - 1
+        coded = coded[coded != self.mark]
+        if odd:
+            parts = np.split(coded, np.cumsum(lengths)[:-1])
+            for i in odd:
+                parts[i] = self._ids([texts[i]])
+            coded, lengths = np.concatenate(parts), np.array([len(x) for x in parts])
+        self.first = _appended(self.first, known, self.n_ids + np.cumsum(lengths) - lengths)
+        self.lengths = _appended(self.lengths, known, lengths)
+        self.ids = _appended(self.ids, self.n_ids, coded)
+        self.n_ids += len(coded)
+
+    def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and where each text's ids end."""
+        if self.bytes >= KEPT:
+            self._clear()
+        words = [t.split() + [b" "] for t in texts]
+        n, known = np.cumsum([len(w) for w in words]), len(self.places)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(n[-1]))
+        if len(self.places) > known:
+            new = list(islice(reversed(self.places), len(self.places) - known))[::-1]
+            self.bytes += sum(map(len, new))
+            self._learn(new, known)
+        sizes, first = self.lengths[at], self.first[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])], ends[n - 1]
+
+
+@lru_cache(4)
+def _word_ids(tokenizer, end_id: int) -> WordIds:
+    """One for each tokenizer of a worker."""
+    return WordIds(tokenizer, end_id)
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, ids): whole texts (null: empty) with ``end_id`` after each.
 
     Texts go through the tokenizer about ``SLICE`` bytes at a time, on the task's own thread: what it keeps
     of a token besides its id takes some hundred bytes, and threads of its own keep memory of their own.
+    Where blanks only part words, each of a slice's words goes through it once (:class:`WordIds`).
     """
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
         tokenizer = worker_state(("tokenizer", vocabulary), lambda: Tokenizer.from_file(vocabulary))
+        known = _word_ids(tokenizer, end_id) if blanks_only_part(vocabulary) else None
         for batch in batches:
             for part in row_slices(batch, limit=SLICE):
-                coded = [np.array(e.ids + [end_id], np.int32) for e in tokenizer.encode_batch_fast(
-                    [t or "" for t in part["text"].to_pylist()], add_special_tokens=False)]
-                ends = np.cumsum([0, *map(len, coded)])
+                if known is None:
+                    coded = [np.array(e.ids + [end_id], np.int32) for e in tokenizer.encode_batch_fast(
+                        [t or "" for t in part["text"].to_pylist()], add_special_tokens=False)]
+                    ids, ends = np.concatenate(coded), np.cumsum([len(x) for x in coded])
+                else:
+                    ids, ends = known.code([t or b"" for t in part["text"].cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], pa.ListArray.from_arrays(
-                        pa.array(ends.astype(np.int32)), pa.array(np.concatenate(coded)))], ["doc_id", "ids"])
+                        pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")

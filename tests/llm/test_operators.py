@@ -404,6 +404,54 @@ def test_texts_are_tokenized_in_slices_of_bytes(spark, monkeypatch):
     assert all(chars <= token_store.SLICE and threads == "false" for _, chars, threads in sizes) and len(sizes) > 10
 
 
+def test_words_go_through_the_tokenizer_once(spark, monkeypatch):
+    """Every word of every text went through it, which took most of the time of op7."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from loomgraph.llm import token_store
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, coded = Tokenizer.from_file(path), []
+    assert token_store.blanks_only_part(path)
+
+    class Watched:
+        def encode_batch_fast(self, part, **how):
+            coded.extend(part)
+            return tokenizer.encode_batch_fast(part, **how)
+
+    def ids(texts):
+        got, ends = words.code([t.encode() for t in texts])
+        return [x.tolist() for x in np.split(got, ends[:-1])]
+
+    words = token_store.WordIds(Watched(), 2)
+    texts = ["some word's again, some word's again", "", "again, new"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert [ids(texts), ids(texts)] == [want, want]
+    assert " ".join(coded).split().count("again,") == 1
+    # blanks, other separators, marks, letters that are put together or lower-cased to several, special tokens
+    odd = [*" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0  　́̈ᅡᄀͅaeEsΣσ'1½.,<|>-é﻿‍😀İßﬁ\x00\x01",
+           "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "\x01a"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choices(odd, k=draw.randrange(25))) for _ in range(3000)]
+    monkeypatch.setattr(token_store, "KEPT", 2000)
+    for i in range(0, len(texts), 100):
+        part = texts[i:i + 100]
+        assert ids(part) == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in part]
+
+
+def test_vocabularies_with_blanks_in_their_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from loomgraph.llm import token_store
+    tokenizer = Tokenizer(models.BPE({"a": 0, "Ġ": 1, "Ġa": 2, "b": 3, "x": 4}, [("Ġ", "a")]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(path := str(tmp_path / "blanks.json"))
+    assert not token_store.blanks_only_part(path)
+    rows = spark.createDataFrame([(1, "a a b"), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in token_store.tokenize(rows, path, 4).collect()} == {1: [0, 2, 1, 3, 4], 2: [4]}
+
+
 def test_a_filter_slice_is_shuffled_as_lists_of_bits(spark, monkeypatch):
     """Each of a filter's words was a row of its own in the shuffle."""
     monkeypatch.setattr(bloom_lm, "GATHERED", 1000)
