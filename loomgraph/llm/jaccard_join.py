@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loomgraph.llm.components import components
 from loomgraph.llm.kernel import ngrams, text_chunks, words
-from loomgraph.session import materialize
+from loomgraph.session import materialize, write_bucketed
 
 #: Counters of the table that orders shingles; the table takes 8 bytes each, whatever the input.
 COUNTERS = 1 << 17
@@ -49,12 +50,13 @@ def chunk_sets(column: pa.Array, size: int) -> Iterator[Sets]:
         for i in range(chunk.last - chunk.first):
             low, high = found.bounds[i], found.bounds[i + 1]
             if high - low >= size:
-                got = np.unique(grams[low:high - size + 1])
+                got = grams[low:high - size + 1]
             elif high > low:
                 got = ngrams(found.hashes[low:high], int(high - low))
             else:
                 got = np.zeros(0, np.uint64)
-            got = np.sort(got.view(np.int64))
+            got = np.sort(got.view(np.int64))  # np.unique takes several times as long
+            got = got[np.diff(got, prepend=~got[:1]) != 0]
             sets.append(got)
             marks.append(hashlib.md5(got.tobytes()).digest() if len(got) else None)
         ends = np.cumsum([len(x) for x in sets], dtype=np.int64)
@@ -136,14 +138,24 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int
              .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     d, k = docs.select("doc_id", "text").alias("d"), named.alias("k")
     texts = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    sets = materialize(shingle_sets(texts, size).join(used, "class_id", "left_semi")
-                       .groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
+    # in buckets by class: where a pair meets its sets, only the pair travels, with the first set to the second
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = write_bucketed(shingle_sets(texts, size).where("class_id is not null").select("class_id", "shingles"),
+                            "sets", ["class_id"], buckets)
+    sets = spark.table(stored).groupBy("class_id").agg(F.first("shingles").alias("shingles"))
     left = sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
-    return (both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), overlap.alias("o"))
-            .where(F.col("o") * 100 >= percent * (F.col("n") - F.col("o"))).select("a", "b"))
+    # rounds of about as many pairs as there are sets: what is shuffled at once does not grow with the pairs
+    rounds, found = max(1, -(-pairs.count() // max(1, used.count()))), []
+    for i in range(rounds):
+        both = (pairs.select("a", "b").where(F.pmod(F.xxhash64("b"), F.lit(rounds)) == i)
+                .join(left, "a").join(right, "b"))
+        found.append(materialize(
+            both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), overlap.alias("o"))
+            .where(F.col("o") * 100 >= percent * (F.col("n") - F.col("o"))).select("a", "b"), "links"))
+    return reduce(DataFrame.union, found)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
@@ -163,7 +175,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
     chain = (head.where(F.col("before").isNotNull() & fits)
              .select(F.least("class_id", "before.class_id").alias("a"),
                      F.greatest("class_id", "before.class_id").alias("b")).distinct())
-    links = materialize(verified(materialize(chain, "chain"), docs, table, percent, size), "links")
+    links = verified(materialize(chain, "chain"), docs, table, percent, size)
     part = components(links)
     placed = materialize(head.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
                          .select("shingle", "class_id", "n", "at",

@@ -489,6 +489,32 @@ def test_frequent_words_are_not_shuffled_for_the_base_score(spark, docs, monkeyp
                    and abs(r.base_score - want[r.row].base_score) < 1e-9 * abs(r.base_score) for r in got)
 
 
+def test_pairs_meet_their_sets_in_rounds_without_shuffling_the_sets(spark, monkeypatch):
+    """Both sets of every pair were shuffled, all pairs at once."""
+    from loomgraph.llm import jaccard_join as jj
+    rows = [(i, " ".join(f"w{j}" for j in range(40) if j not in (i, i + 20))) for i in range(8)]
+    texts = spark.createDataFrame([*rows, (8, rows[0][1]), (9, "other words in one text of its own"), (None, rows[1][1]), (10, "")],
+                                  "doc_id long, text string")
+    members = jj.materialize(jj.shingle_sets(texts, 1, whole=False), "members")
+    ids = [r[0] for r in members.where("class_id is not null").select("class_id").distinct().orderBy("class_id").collect()]
+    pairs = jj.materialize(spark.createDataFrame([(x, y) for x in ids for y in ids if x < y], "a binary, b binary"), "pairs")
+    plans, write = [], jj.materialize
+    monkeypatch.setattr(jj, "materialize", lambda df, label: (
+        plans.append(df._jdf.queryExecution().toString()) if label == "links" else None, write(df, label))[1])
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(bytes(r.a), bytes(r.b)) for r in jj.verified(pairs, texts, members, 90, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    sets = {bytes(r.class_id): set(r.shingles) for r in jj.shingle_sets(texts, 1).where("class_id is not null").collect()}
+    want = {(x, y) for x in sets for y in sets if x < y
+            and 100 * len(sets[x] & sets[y]) >= 90 * len(sets[x] | sets[y])}
+    assert got == want and 0 < len(want) < pairs.count()
+    assert len(plans) == 4  # 36 pairs of 9 sets
+    assert all(p.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 2 for p in plans)
+
+
 def test_shuffle_files_go_when_a_step_is_written(tmp_path):
     """They stayed until the driver collected its garbage, so all steps' files lay on the disk together."""
     import subprocess
