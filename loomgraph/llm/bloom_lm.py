@@ -70,9 +70,13 @@ def ngram_counts(docs: DataFrame, order: int) -> DataFrame:
             .groupBy("size", "gram").agg(F.sum("n").alias("n")))
 
 
-def _bits(grams: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+def _walk(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     base = mix(grams + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
-    step = mix(base) | np.uint64(1)
+    return base, mix(base) | np.uint64(1)
+
+
+def _bits(grams: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    base, step = _walk(grams, level)
     return [((base + np.uint64(k) * step) % np.uint64(size)).astype(np.int64) for k in range(PROBES)]
 
 
@@ -148,10 +152,11 @@ def probe(table: np.ndarray, grams: np.ndarray) -> np.ndarray:
     level = np.zeros(len(unique), np.int64)
     alive, at = np.flatnonzero(unique), 1
     while len(alive) and at < 64:
-        held = np.ones(len(alive), bool)
-        for bit in _bits(unique[alive], at, len(table) * 64):
-            held &= (table[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) != 0
-        alive = alive[held]
+        base, step = _walk(unique[alive], at)
+        for k in range(PROBES):  # most of those not held are out after the first bit
+            bit = (base + np.uint64(k) * step) % np.uint64(len(table) * 64)
+            held = (table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+            alive, base, step = alive[held], base[held], step[held]
         level[alive] = at
         at += 1
     low = np.exp2(np.maximum(level - 1, 0))
