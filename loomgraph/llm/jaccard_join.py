@@ -9,9 +9,13 @@ one of their first ``n - ceil(t * n) + 1``.  The order puts shingles of rarely f
 
 The product is taken twice over.  First each column (one shingle's classes, by size) links only
 neighbours; verified links merge classes into components.  Then only pairs from different
-components are accumulated, and dropped where overlap so far plus what the sizes still allow stays
-below the bound.  Pairs inside a component can add nothing to it, so no group of near copies is
-expanded into its pairs and no link between components is lost.
+components meet, at the first shingle they share: a row knows the ``BEFORE`` shingles ahead of its own, and
+a pair that shares one of those has met already.  Pairs inside a component can add nothing to it, so no group
+of near copies is expanded into its pairs and no link between components is lost.
+
+Before whole sets are compared, a pair must pass its marks: parities of the shingles by hash, some bits a
+shingle.  Each bit in which two marks differ stands for another shingle that only one of the sets has, which
+bounds their overlap from above.
 """
 from __future__ import annotations
 
@@ -30,6 +34,8 @@ from loomgraph.session import materialize, write_bucketed
 
 #: Counters of the table that orders shingles; the table takes 8 bytes each, whatever the input.
 COUNTERS = 1 << 17
+#: Shingles ahead of its own that a row of the product carries.
+BEFORE = 8
 
 
 class Sets(NamedTuple):
@@ -63,19 +69,29 @@ def chunk_sets(column: pa.Array, size: int) -> Iterator[Sets]:
         yield Sets(chunk.first, chunk.last, np.concatenate(sets), ends, pa.array(marks, pa.binary()))
 
 
+def set_marks(sets: Sets) -> pa.Array:
+    """Each set's parities, in as many bits as the next power of two above twice its size, 64 at least."""
+    n = np.diff(sets.ends)
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(ends[:-1], n) + (sets.flat & np.repeat(bits - 1, n))
+    odd = (np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((ends // 64).astype(np.int32)),
+                                    pa.array(np.packbits(odd, bitorder="little").view("<i8")))
+
+
 def shingle_sets(docs: DataFrame, size: int, whole: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, class_id[, shingles]): the sets of whole texts, by their digests."""
-    names = ["doc_id", "n_shingles", "class_id", "shingles"][:4 if whole else 3]
+    """(doc_id, n_shingles, class_id) and ``shingles``, or else ``marks``: the sets of whole texts, by their digests."""
+    names = ["doc_id", "n_shingles", "class_id", "shingles" if whole else "marks"]
 
     def run(batches):
         for batch in batches:
             for got in chunk_sets(batch["text"], size):
-                columns = [batch["doc_id"].slice(got.first, got.last - got.first),
-                           pa.array(np.diff(got.ends)), got.class_ids]
-                if whole:
-                    columns.append(pa.ListArray.from_arrays(
-                        pa.array(got.ends.astype(np.int32)), pa.array(got.flat)))
-                yield pa.RecordBatch.from_arrays(columns, names)
+                last = pa.ListArray.from_arrays(
+                    pa.array(got.ends.astype(np.int32)), pa.array(got.flat)) if whole else set_marks(got)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].slice(got.first, got.last - got.first),
+                     pa.array(np.diff(got.ends)), got.class_ids, last], names)
 
     rows = docs.select("doc_id", "text")
     key = rows.schema["doc_id"].dataType.simpleString()
@@ -131,8 +147,50 @@ def _required(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent))
 
 
+def _folded(marks: Column, length: Column) -> Column:
+    """Marks as they were with fewer bits: ``length`` longs, a power of two."""
+    return F.when(F.size(marks) == length, marks).otherwise(F.transform(
+        F.sequence(F.lit(1), length), lambda i: F.aggregate(
+            F.sequence(i, F.size(marks), length), F.lit(0).cast("long"),
+            lambda sum_, k: sum_.bitwiseXOR(F.element_at(marks, k)))))
+
+
+def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose marks do not rule out that they are similar enough; no such pair is lost."""
+    marks = (members.where("class_id is not null").groupBy("class_id")
+             .agg(F.first("n_shingles").alias("n"), F.first("marks").alias("m")))
+    both = (pairs.join(marks.toDF("a", "na", "ma"), "a").join(marks.toDF("b", "nb", "mb"), "b"))
+    length = F.least(F.size("ma"), F.size("mb"))
+    differ = F.aggregate(F.zip_with(_folded(F.col("ma"), length), _folded(F.col("mb"), length),
+                                    lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda sum_, x: sum_ + x)
+    n = F.col("na") + F.col("nb")
+    # the overlap is (n - differ) / 2 at most
+    return (both.where(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
+            .where((n - differ) * (100 + percent) >= 2 * percent * n).select("a", "b"))
+
+
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the classes in different components that share a head shingle, most pairs once only.
+
+    ``rows``: shingle, class_id, n, at, component.  At their first common shingle, two sets that are similar
+    enough have all they must share still ahead of them, and none of the shingles before is common.
+    """
+    ahead = Window.partitionBy("class_id").orderBy("at").rowsBetween(-BEFORE, -1)
+    rows = materialize(rows.withColumn("ahead", F.collect_list("shingle").over(ahead)), "open-heads")
+    x, y = rows.alias("x"), rows.alias("y")
+    least = _required(F.col("x.n"), F.col("y.n"), percent)
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle"))
+                   & (F.col("x.component") != F.col("y.component"))
+                   & (F.col("x.class_id") < F.col("y.class_id"))
+                   & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
+                   & (F.col("x.n") - F.col("x.at") >= least) & (F.col("y.n") - F.col("y.at") >= least)
+                   & ~F.arrays_overlap("x.ahead", "y.ahead"))
+            .select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the (a, b) pairs whose sets are similar enough; one document a class gives its set."""
+    pairs = materialize(plausible(pairs, members, percent), "plausible")
     used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct(), "used")
     named = (members.join(used, "class_id", "left_semi").groupBy("class_id")
              .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
@@ -182,19 +240,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
                                  F.coalesce("component", "class_id").alias("component")), "placed")
     mixed = (placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("shingle"))
-    open_ = materialize(placed.join(mixed, "shingle", "left_semi"), "open-heads")
-    x, y = open_.alias("x"), open_.alias("y")
-    met = (x.join(y, (F.col("x.shingle") == F.col("y.shingle"))
-                  & (F.col("x.component") != F.col("y.component"))
-                  & (F.col("x.class_id") < F.col("y.class_id"))
-                  & (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-                  & (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-                     + F.least("x.at", "y.at") >= _required(F.col("x.n"), F.col("y.n"), percent)))
-           .groupBy(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
-           .agg(F.count(F.lit(1)).alias("o"), F.max("x.at").alias("pa"), F.max("y.at").alias("pb"),
-                F.max("x.n").alias("na"), F.max("y.n").alias("nb")))
-    bound = F.col("o") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    reach = met.where(bound >= _required(F.col("na"), F.col("nb"), percent)).select("a", "b")
+    reach = meetings(placed.join(mixed, "shingle", "left_semi"), percent).distinct()
     more = verified(materialize(reach, "pairs"), docs, table, percent, size)
     part = materialize(components(materialize(links.union(more), "all-links")), "components")
     linked = (table.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")

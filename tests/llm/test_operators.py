@@ -536,3 +536,65 @@ print("files", len(left), kept.count())
 """
     run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=200)
     assert "files 0 1000" in run.stdout, run.stdout + run.stderr[-2000:]
+
+
+def test_marks_and_first_shared_shingles_lose_no_pair(spark, monkeypatch):
+    """Sets that are half alike met once for each shingle they share, and were all compared whole."""
+    from loomgraph.llm import jaccard_join as jj
+    rng = np.random.default_rng(3)
+    base, rows = [f"b{i}" for i in range(300)], []
+    for i in range(60):  # similar to one another from far below to far above the limit, in 64 to 1,024 bits
+        n = 30 if i % 3 else 300 if i % 2 else 250
+        w = base[:n]
+        for at in rng.choice(n, int(n * (i % 10) / 30), replace=False):
+            w[at] = f"z{i}_{at}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(t.split()) for _, t in rows]
+    links = {(i, j) for i in range(60) for j in range(60)
+             if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    members = jj.materialize(jj.shingle_sets(docs, 1, whole=False), "members")
+    # rows of one class (equal sets) stand for each other
+    ids = {bytes(r.class_id): r.doc_id for r in members.collect()}
+    links = {(i, j) for i, j in links if {i, j} <= set(ids.values())}
+    every = spark.createDataFrame([(a, b) for a in ids for b in ids if a != b], "a binary, b binary")
+    left = {(ids[bytes(r.a)], ids[bytes(r.b)]) for r in jj.plausible(every, members, 75).collect()}
+    assert links <= left and len(left) < len(ids) ** 2 / 4
+    head = jj.materialize(jj.heads(docs, 75, 1).withColumn("component", F.col("class_id")), "heads")
+    counts = Counter(frozenset((ids[bytes(r.a)], ids[bytes(r.b)])) for r in jj.meetings(head, 75).collect())
+    assert {frozenset(x) for x in links} <= set(counts)
+    assert sum(counts.values()) < 2 * len(counts)
+    monkeypatch.setattr(jj, "BEFORE", 1)
+    assert {frozenset(x) for x in links} <= {frozenset((ids[bytes(r.a)], ids[bytes(r.b)]))
+                                             for r in jj.meetings(head, 75).collect()}
+
+
+def test_frequent_words_stay_when_kept_words_are_too_many(monkeypatch):
+    """All words went when they took 8 MB, which is some hundred MB with what belongs to them."""
+    from tokenizers import Tokenizer
+    tokenizer, coded = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **kind):
+            coded.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **kind)
+
+    monkeypatch.setattr(token_store, "KEPT", 3000)
+    words = token_store.WordIds(Watched(), 2)
+    for i in range(60):
+        texts = [f"often used words r{i}x{j} q{j}y{i}" for j in range(20)] + ["", "used twice used"]
+        got, ends = words.code([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(got, ends[:-1])] == [
+            tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert words.bytes < 3000 + 400 and len(words.places) == len(words.uses)
+    assert " ".join(coded).split().count("often") == 1 and token_store.KEPT < 1 << 23
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """10,000 rows were one batch, however long."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    assert max(r.n for r in rows.mapInArrow(sizes, "n long").collect()) < 6 << 20
