@@ -7,8 +7,8 @@ class's set is needed: in any common order of the shingles, two sets that are si
 one of their first ``n - ceil(t * n) + 1``.  The order puts shingles of rarely filled counters first
 (a count table of fixed size), so the common passages are at the tails.
 
-The product is taken twice over.  First each column (one shingle's classes, by size) links only
-neighbours; verified links merge classes into components.  Then only pairs from different
+The product is taken twice over.  First each column (one shingle's classes) links only neighbours, by size and
+then in a drawn order; verified links merge classes into components.  Then only pairs from different
 components meet, at the first shingle they share: a row knows the ``BEFORE`` shingles ahead of its own, and
 a pair that shares one of those has met already.  Pairs inside a component can add nothing to it, so no group
 of near copies is expanded into its pairs and no link between components is lost.
@@ -169,6 +169,16 @@ def plausible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             .where((n - differ) * (100 + percent) >= 2 * percent * n).select("a", "b"))
 
 
+def apart(head: DataFrame, part: DataFrame) -> DataFrame:
+    """Head rows of the shingles that several components have, with the component (``part``: node, component)."""
+    placed = materialize(head.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
+                         .select("shingle", "class_id", "n", "at",
+                                 F.coalesce("component", "class_id").alias("component")), "placed")
+    mixed = (placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low <> high").select("shingle"))
+    return placed.join(mixed, "shingle", "left_semi")
+
+
 def meetings(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the classes in different components that share a head shingle, most pairs once only.
 
@@ -234,13 +244,15 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5) -> Dat
              .select(F.least("class_id", "before.class_id").alias("a"),
                      F.greatest("class_id", "before.class_id").alias("b")).distinct())
     links = verified(materialize(chain, "chain"), docs, table, percent, size)
-    part = components(links)
-    placed = materialize(head.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
-                         .select("shingle", "class_id", "n", "at",
-                                 F.coalesce("component", "class_id").alias("component")), "placed")
-    mixed = (placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low <> high").select("shingle"))
-    reach = meetings(placed.join(mixed, "shingle", "left_semi"), percent).distinct()
+    open_ = apart(head, components(links))
+    # other neighbours, drawn anew in each column: a large group of near copies is one component before pairs are made
+    before = F.lag(F.struct("class_id", "n", "component")).over(column.orderBy(F.xxhash64("class_id", "shingle"), "class_id"))
+    chain = (open_.withColumn("before", before).where(F.col("before.component") != F.col("component")).where(fits)
+             .select(F.least("class_id", "before.class_id").alias("a"),
+                     F.greatest("class_id", "before.class_id").alias("b")).distinct())
+    links = materialize(links.union(verified(materialize(chain, "chain"), docs, table, percent, size)), "chain-links")
+    open_ = apart(head, components(links))
+    reach = meetings(open_, percent).distinct()
     more = verified(materialize(reach, "pairs"), docs, table, percent, size)
     part = materialize(components(materialize(links.union(more), "all-links")), "components")
     linked = (table.join(part.withColumnRenamed("node", "class_id"), "class_id", "left")
