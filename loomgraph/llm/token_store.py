@@ -27,7 +27,7 @@ BITS = 20
 LANES = 256
 CHUNK_IDS = 1 << 16
 SLICE = 1 << 18  # bytes of text tokenized at once
-KEPT = 1 << 23  # bytes of words whose ids a worker keeps, some words more
+KEPT = 1 << 21  # bytes of words whose ids a worker keeps, some words more; all in all some 50 times that
 JOINED = 256  # words that go through the tokenizer as one text, each with a mark behind it
 _MARK = "\x01"
 # the pieces of the public word vocabulary (a fixed value of its file): none holds a blank
@@ -129,21 +129,36 @@ def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """The ids of texts, word by word: the tokenizer codes a word once for as long as it is kept."""
+    """The ids of texts, word by word: the tokenizer codes a word once for as long as it is kept.
+
+    Beyond ``KEPT`` bytes of words, those used most stay, up to half of that.
+    """
 
     def __init__(self, tokenizer, end_id: int):
-        self.tokenizer, self.end_id, self.bytes = tokenizer, end_id, KEPT
+        self.tokenizer, self.end_id = tokenizer, end_id
         self.mark = self._ids([_MARK])[0]
+        # a blank, which is no word, stands for the end of a text
+        self.places, self.bytes = _Places({b" ": 0}), 0
+        self.ids, self.n_ids = np.array([end_id], np.int32), 1
+        self.first, self.lengths, self.uses = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> np.ndarray:
         return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(
             texts, add_special_tokens=False)])
 
-    def _clear(self) -> None:
-        # a blank, which is no word, stands for the end of a text
-        self.places, self.bytes = _Places({b" ": 0}), 0
-        self.ids, self.n_ids = np.array([self.end_id], np.int32), 1
-        self.first, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+    def _forget(self) -> None:
+        words = list(self.places)
+        sizes, uses = np.fromiter(map(len, words), np.int64, len(words)), self.uses
+        order = np.argsort(-uses[1:], kind="stable") + 1
+        order = order[(np.cumsum(sizes[order]) <= KEPT // 2) & (uses[order] > 1)]
+        kept = np.concatenate([[0], np.sort(order)])
+        lengths, first = self.lengths[kept], self.first[kept]
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1])]
+        self.first, self.lengths, self.n_ids = ends - lengths, lengths, len(self.ids)
+        # halved: words of earlier texts make room for those of later ones
+        self.places, self.bytes, self.uses = _Places(zip((words[i] for i in kept), range(len(kept)))), int(
+            sizes[kept].sum()), uses[kept] >> 1
 
     def _learn(self, new: list[bytes], known: int) -> None:
         """Code the words ``new``, joined by a mark that parts their ids again; ``known`` words are there."""
@@ -166,7 +181,7 @@ class WordIds:
     def code(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and where each text's ids end."""
         if self.bytes >= KEPT:
-            self._clear()
+            self._forget()
         words = [t.split() + [b" "] for t in texts]
         n, known = np.cumsum([len(w) for w in words]), len(self.places)
         at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(words)), np.int64, int(n[-1]))
@@ -174,6 +189,9 @@ class WordIds:
             new = list(islice(reversed(self.places), len(self.places) - known))[::-1]
             self.bytes += sum(map(len, new))
             self._learn(new, known)
+        uses = np.bincount(at, minlength=len(self.places))
+        uses[:known] += self.uses
+        self.uses = uses
         sizes, first = self.lengths[at], self.first[at]
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])], ends[n - 1]
