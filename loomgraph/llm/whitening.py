@@ -3,12 +3,14 @@
 Spark makes the distinct vectors, their sums and their covariance (dimension-squared sums, added up
 per task before they meet).  What is left is one symmetric matrix.  Inertia counts (the signs of an
 LDL^T factorisation of the shifted covariance) say how many eigenvalues lie above any point; bisection
-on them cuts the upper end of the spectrum into intervals with a few eigenvalues each.  For each
-interval a circle around it is cut at Gauss-Legendre nodes; every (interval, node) is a row, and its
-complex shifted solve a Spark task.  The weighted sum of the solves projects a random block onto the
-interval's eigenvectors, Rayleigh-Ritz extracts them, and rounds go on until the residuals are at the
-size of rounding errors.  An interval is done only when it holds as many Ritz values as its inertia
-counts say, so no component is missed.  Clusters that cannot be cut stay in one interval.
+on them cuts the upper end of the spectrum into intervals with a few eigenvalues each, in and around
+them: those just outside a circle are hardly damped, and a block with fewer columns than there are of
+them hardly settles.  For each interval a circle around it is cut at Gauss-Legendre nodes; every
+(interval, node) is a row, and its complex shifted solve a Spark task.  The weighted sum of the solves
+projects a random block onto the interval's eigenvectors, Rayleigh-Ritz extracts them, and rounds go on
+until the residuals are at the size of rounding errors.  An interval is done only when it holds as many
+settled Ritz values as its inertia counts say, so no component is missed.  Clusters that cannot be cut
+stay in one interval.
 """
 from __future__ import annotations
 
@@ -24,6 +26,8 @@ SCALE, SHIFT = 64, 1_000_000
 COMPONENTS, NODES, ROUNDS = 16, 8, 30
 #: Eigenvalues wanted in one interval at most, where they can be told apart.
 PER_INTERVAL = 8
+#: Radii of an interval's circle within which eigenvalues are counted as its neighbourhood: those beyond are damped well.
+REACH = 1.4
 #: Eigenvalues below this share of the largest are zero: such directions have no whitened coordinate.
 NULL_SHARE = 1e-12
 #: Numbers held at once while a batch of vectors is worked through.
@@ -90,16 +94,37 @@ def inertia(matrix: np.ndarray) -> int:
     return positive
 
 
+def _above(v: np.ndarray, s: float) -> int:
+    """How many eigenvalues are larger than ``s``."""
+    return inertia(v - s * np.eye(len(v)))
+
+
+def _bound(v: np.ndarray) -> float:
+    """No eigenvalue is larger."""
+    return float(np.abs(v).sum(1).max())
+
+
+def _circle(v: np.ndarray, low: float, high: float) -> tuple[float, float]:
+    """Centre and radius: a hair wider than the interval, so that an eigenvalue at its end is not on the circle."""
+    return (low + high) / 2, 0.55 * (high - low) + 1e-9 * _bound(v)
+
+
+def _near(v: np.ndarray, low: float, high: float) -> int:
+    """How many eigenvalues are in the interval or so near that its circle hardly damps them."""
+    centre, radius = _circle(v, low, high)
+    return _above(v, centre - REACH * radius) - _above(v, centre + REACH * radius)
+
+
 def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> list[tuple[float, float, int]]:
     """(low, high, count) from above, which hold the ``wanted`` largest eigenvalues that are not zero.
 
-    An interval holds at most ``per_interval`` eigenvalues, or ones closer than can be told apart.
+    An interval holds at most ``per_interval`` eigenvalues and its neighbourhood at most twice as many, or ones
+    closer than can be told apart.
     """
-    unit = np.eye(len(v))
-    top = float(np.abs(v).sum(1).max())  # no eigenvalue is larger
+    top = _bound(v)
     if top == 0:
         return []
-    above = lambda s: inertia(v - s * unit)
+    above = lambda s: _above(v, s)
     floor = NULL_SHARE * top
     found: list[tuple[float, float, int]] = []
 
@@ -107,7 +132,7 @@ def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> l
         """From above: counts are those of eigenvalues above each end."""
         if n_low == n_high or n_high >= wanted:
             return
-        if n_low - n_high > per_interval and high - low > 1e-10 * top:
+        if high - low > 1e-10 * top and (n_low - n_high > per_interval or _near(v, low, high) > 2 * per_interval):
             middle = (low + high) / 2 if low > high / 64 else np.sqrt(low * high)
             n_middle = above(middle)
             cut(middle, high, n_middle, n_high)
@@ -119,12 +144,11 @@ def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> l
     return found
 
 
-def _nodes(low: float, high: float) -> list[tuple[complex, complex]]:
-    """Nodes on the upper half of the circle around an interval, and their weights."""
+def _nodes(centre: float, radius: float) -> list[tuple[complex, complex]]:
+    """Nodes on the upper half of a circle, and their weights."""
     x, w = np.polynomial.legendre.leggauss(NODES)
     angle = np.pi / 2 * (1 - x)
     turn = np.exp(1j * angle)
-    centre, radius = (low + high) / 2, (high - low) / 2
     return list(zip(centre + radius * turn, w / 4 * 2 * radius * turn))
 
 
@@ -139,29 +163,29 @@ def eigenpairs(spark, v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarra
 
     The solves run as Spark tasks, one for each (interval, node) and round.
     """
-    dim, scale = len(v), max(float(np.abs(v).sum(1).max()), 1e-300)
+    dim, scale = len(v), max(_bound(v), 1e-300)
     work = []
     rng = np.random.default_rng(7)
     for low, high, count in intervals(v, wanted):
-        size = min(dim, count + max(6, count))
-        # a hair wider than the interval, so that an eigenvalue at its end is not on the circle
-        pad = 0.05 * (high - low) + 1e-9 * scale
-        work.append({"low": low, "high": high, "count": count, "pad": pad, "size": size,
+        near = _near(v, low, high)
+        size = min(dim, near + max(6, near))
+        work.append({"low": low, "high": high, "count": count, "size": size, "circle": _circle(v, low, high),
                      "block": rng.standard_normal((dim, size)), "done": None})
     for _ in range(ROUNDS):
         going = [i for i, w in enumerate(work) if w["done"] is None]
         if not going:
             break
-        solved = _solve(spark, v, [(i, work[i]["low"] - work[i]["pad"], work[i]["high"] + work[i]["pad"],
-                                    work[i]["block"]) for i in going])
+        solved = _solve(spark, v, [(i, *work[i]["circle"], work[i]["block"]) for i in going])
         for i in going:
             w, q = work[i], _orthonormal(solved[i])
             values, mix = np.linalg.eigh(q.T @ v @ q)
             vectors = q @ mix
             inside = (values > w["low"]) & (values <= w["high"])
             residual = np.linalg.norm(v @ vectors - vectors * values, axis=0)
-            if inside.sum() == w["count"] and residual[inside].max() <= 1e-14 * scale * np.sqrt(dim):
-                w["done"] = values[inside], vectors[:, inside]
+            # a mix of eigenvectors on both sides has a value in between, but no small residual: no eigenpair
+            settled = inside & (residual <= 1e-14 * scale * np.sqrt(dim))
+            if settled.sum() == w["count"]:
+                w["done"] = values[settled], vectors[:, settled]
             w["block"] = vectors
             # a basis that lost directions gets fresh ones
             if vectors.shape[1] < w["size"]:
@@ -181,11 +205,11 @@ def eigenpairs(spark, v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _solve(spark, v: np.ndarray, work: list) -> dict[int, np.ndarray]:
-    """The contour sums of each (interval, low, high, block): its solves as rows of one small table."""
+    """The contour sums of each (interval, centre, radius, block): its solves as rows of one small table."""
     matrix, dim = v.tobytes(), len(v)
     rows = [Row(interval=i, re=float(z.real), im=float(z.imag), wre=float(w.real), wim=float(w.imag),
                 block=bytearray(block.tobytes()))
-            for i, low, high, block in work for z, w in _nodes(low, high)]
+            for i, centre, radius, block in work for z, w in _nodes(centre, radius)]
     table = spark.createDataFrame(rows, "interval int, re double, im double, wre double, wim double, block binary")
 
     def run(batches):

@@ -87,3 +87,16 @@ def test_equal_eigenvalues(spark):
     assert np.allclose(values, e[:16], rtol=1e-12)
     assert np.allclose(axes.T @ axes, np.eye(16), atol=1e-11)
     assert np.allclose(v @ axes, axes * values, atol=1e-11)
+
+
+@pytest.mark.parametrize("upper", [[150, 146], [148, 140, 103, 73, 71], [200, 104], [300, 150, 145, 72, 67]])
+def test_many_vectors_make_a_narrow_spectrum(spark, upper):
+    """Few eigenvalues far above a crowd: one that a wide interval's circle does not tell from its own."""
+    e = np.concatenate([upper, np.linspace(65.7, 62.5, 64 - len(upper))])
+    q, _ = np.linalg.qr(np.random.default_rng(11).standard_normal((64, 64)))
+    v = (q * e) @ q.T
+    v = (v + v.T) / 2
+    values, axes = eigenpairs(spark, v, 16)
+    assert np.allclose(values, e[:16], rtol=1e-12)
+    assert np.allclose(axes.T @ axes, np.eye(16), atol=1e-11)
+    assert np.allclose(v @ axes, axes * values, atol=1e-10)
