@@ -292,6 +292,66 @@ def test_many_bundles_equal_brute_force(spark, monkeypatch, k, exclude_self, blo
     assert all(abs(r.similarity - want[r.query_id, r.cand_id, r["rank"]]) < 2e-9 for r in found)
 
 
+def spread_vectors(n, dim, seed):
+    """Unit vectors in all directions, where no cell can be left out."""
+    m = np.random.default_rng(seed).standard_normal((n, dim))
+    return m / np.linalg.norm(m, axis=1)[:, None]
+
+
+def test_a_bundle_met_whole_sorts_few_similarities(monkeypatch):
+    """Spread vectors: almost no pair gets past the products in single precision."""
+    sorted_, best = [], nn._best
+    monkeypatch.setattr(nn, "_best", lambda sims, k: sorted_.append(sims.size) or best(sims, k))
+    a, b = spread_vectors(600, 48, 0), spread_vectors(6000, 48, 1)
+    left = pd.DataFrame({"row": range(600), "query_id": range(600), "embedding": list(a), "known": -1.0})
+    right = pd.DataFrame({"cand_id": range(6000), "embedding": list(b)})
+    found = nn._kernel(5, True, 40, False)(left, right)
+    sims = np.round(a @ b.T, 12)
+    sims[np.arange(600), np.arange(600)] = -1.0
+    want = {(i, int(j)) for i in range(600) for j in np.lexsort((np.arange(6000), -sims[i]))[:5]}
+    assert set(zip(found["row"], found["cand_id"].astype(int))) == want
+    assert sum(sorted_) < a.shape[0] * b.shape[0] / 20
+
+
+@pytest.mark.parametrize("k,exclude_self", [(1, True), (5, True), (5, False), (40, True)])
+def test_whole_bundles_equal_brute_force(monkeypatch, k, exclude_self):
+    """Near and equal copies, opposites, zero vectors, repeated ids and a bound that is known, in small tiles."""
+    monkeypatch.setattr(nn, "TILE", 64)
+    monkeypatch.setattr(nn, "TILE_ROWS", 37)
+    b = spread_vectors(300, 12, 2)
+    b[50:90] = b[50] + np.random.default_rng(3).standard_normal((40, 12)) * 1e-8
+    b[100:120], b[130:140], b[150] = b[100], 0.0, -b[151]
+    b /= np.maximum(np.linalg.norm(b, axis=1), 1e-300)[:, None]
+    other = np.arange(300) // 2  # each id comes twice
+    rows = np.random.default_rng(4).permutation(300)
+    a, own = b[rows], other[rows]
+    sims = np.round(np.clip(a @ b.T, -1, 1), 12)
+    if exclude_self:
+        sims[own[:, None] == other[None, :]] = -1.0
+    order = np.array([np.lexsort((np.arange(300), -row))[:k] for row in sims])
+    best = np.take_along_axis(sims, order, axis=1)
+    for known in (np.full(300, -1.0), best[:, -1], np.where(rows % 2, best[:, 0], -1.0)):
+        got, cols = nn._whole(a, b, own if exclude_self else None, other if exclude_self else None, known, k)
+        keep = (best > -1.0) & (best >= known[:, None])
+        assert (((got > -1.0) & (got >= known[:, None])) == keep).all()
+        assert np.allclose(got[keep], best[keep], atol=2e-12, rtol=0)
+        far = keep & (np.abs(rows[:, None] - 70) > 20)  # copies 1e-8 apart tie at 12 digits, up to rounding
+        assert (cols[far] == order[far]).all()
+
+
+def test_spread_vectors_equal_brute_force(spark, monkeypatch):
+    """Several bundles, each met whole."""
+    monkeypatch.setattr(nn, "BUNDLE_ROWS", 300)
+    vectors = spread_vectors(700, 24, 5)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    q = spark.createDataFrame(rows, "query_id int, embedding array<double>")
+    found = nn.top_k(q, q.withColumnRenamed("query_id", "cand_id"), 3, True, 20).collect()
+    sims = np.round(vectors @ vectors.T, 12)
+    np.fill_diagonal(sims, -1.0)
+    want = {(i, int(j), n + 1) for i in range(700) for n, j in enumerate(np.lexsort((np.arange(700), -sims[i]))[:3])}
+    assert {(r.query_id, r.cand_id, r["rank"]) for r in found} == want
+
+
 def test_small_cells_write_no_more(spark, monkeypatch, tmp_path):
     """What is written is rows of the tables, not visits of cells: a cell for each candidate here, none ruled out."""
     vectors = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(2).standard_normal((300, 32)))]
