@@ -106,7 +106,14 @@ def _bound(v: np.ndarray) -> float:
 
 def _circle(v: np.ndarray, low: float, high: float) -> tuple[float, float]:
     """Centre and radius: a hair wider than the interval, so that an eigenvalue at its end is not on the circle."""
-    return (low + high) / 2, 0.55 * (high - low) + 1e-9 * _bound(v)
+    pad = 0.05 * (high - low) + 1e-9 * _bound(v)
+    low, high = low - pad, high + pad
+    return (low + high) / 2, (high - low) / 2
+
+
+def _columns(count: int) -> int:
+    """Columns of a block for so many eigenvalues."""
+    return count + max(6, count)
 
 
 def _near(v: np.ndarray, low: float, high: float) -> int:
@@ -118,8 +125,8 @@ def _near(v: np.ndarray, low: float, high: float) -> int:
 def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> list[tuple[float, float, int]]:
     """(low, high, count) from above, which hold the ``wanted`` largest eigenvalues that are not zero.
 
-    An interval holds at most ``per_interval`` eigenvalues and its neighbourhood at most twice as many, or ones
-    closer than can be told apart.
+    An interval holds at most ``per_interval`` eigenvalues and its neighbourhood no more than its block has
+    columns, or ones closer than can be told apart.
     """
     top = _bound(v)
     if top == 0:
@@ -132,13 +139,14 @@ def intervals(v: np.ndarray, wanted: int, per_interval: int = PER_INTERVAL) -> l
         """From above: counts are those of eigenvalues above each end."""
         if n_low == n_high or n_high >= wanted:
             return
-        if high - low > 1e-10 * top and (n_low - n_high > per_interval or _near(v, low, high) > 2 * per_interval):
+        count = n_low - n_high
+        if high - low > 1e-10 * top and (count > per_interval or _near(v, low, high) > _columns(count)):
             middle = (low + high) / 2 if low > high / 64 else np.sqrt(low * high)
             n_middle = above(middle)
             cut(middle, high, n_middle, n_high)
             cut(low, middle, n_low, n_middle)
         else:
-            found.append((low, high, n_low - n_high))
+            found.append((low, high, count))
 
     cut(floor, top * (1 + 1e-9), above(floor), 0)
     return found
@@ -167,8 +175,8 @@ def eigenpairs(spark, v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarra
     work = []
     rng = np.random.default_rng(7)
     for low, high, count in intervals(v, wanted):
-        near = _near(v, low, high)
-        size = min(dim, near + max(6, near))
+        near, size = _near(v, low, high), _columns(count)
+        size = min(dim, size if near <= size else near + 6)
         work.append({"low": low, "high": high, "count": count, "size": size, "circle": _circle(v, low, high),
                      "block": rng.standard_normal((dim, size)), "done": None})
     for _ in range(ROUNDS):
